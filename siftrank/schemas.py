@@ -14,7 +14,7 @@ _BOOLEAN = {
 _INTEGER = {"hba", "hbd", "rotatable_bonds", "lipinski_violations"}
 _LONG = {
     "chembl_activity_count", "chembl_target_count", "patent_record_count",
-    "diversity_cluster_id", "diversity_cluster_size",
+    "diversity_cluster_id", "diversity_cluster_size", "rank_position",
 }
 _DOUBLE = {
     "priority_score", "closest_known_compound_similarity", "chembl_similarity_score",
