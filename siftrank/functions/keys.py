@@ -90,7 +90,7 @@ def feature_set(key: Column | str, n_bits: int = V.FEATURE_BITS, width: int = 3)
         word_shingles(key, width),
         lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint") % n_bits).cast("int"),
     )
-    return F.array_sort(F.array_distinct(bits))
+    return F.sort_array(F.array_distinct(bits))
 
 
 def safe_job_id(job_id: Column | str) -> Column:

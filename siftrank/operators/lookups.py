@@ -127,7 +127,7 @@ def activity_summary(activities: DataFrame, molecule: str = "molecule_id", targe
         per_target.where(F.col("_target").isNotNull())
         .withColumn("_rank", F.row_number().over(by_name)).where(F.col("_rank") <= V.TARGETS_SHOWN)
         .groupBy(molecule)
-        .agg(F.array_join(F.array_sort(F.collect_list("_target")), "; ").alias("target_summary"))
+        .agg(F.array_join(F.sort_array(F.collect_list("_target")), "; ").alias("target_summary"))
     )
     return totals.join(shown, molecule, "left").select(
         F.col(molecule).alias("molecule_id"), "activity_count", "target_count", "target_summary"

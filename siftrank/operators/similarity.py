@@ -35,7 +35,7 @@ class DistinctSets:
 
 def collapse_sets(df: DataFrame, ordinal: str, features: str) -> DistinctSets:
     """Give rows with equal feature sets one ``set_id``, the smallest ordinal among them."""
-    signature = F.md5(F.array_join(F.array_sort(F.col(features)), ",").cast("binary"))
+    signature = F.md5(F.array_join(F.sort_array(F.col(features)), ",").cast("binary"))
     rows = durable(df.where(F.size(features) > 0).withColumn("_sig", signature))
     per_sig = rows.groupBy("_sig").agg(
         F.min(ordinal).alias("set_id"), F.count("*").alias("members")
@@ -131,7 +131,7 @@ def _frequent_candidates(tokens: DataFrame, threshold: float, sided: bool) -> Da
     head = (
         tokens.where((F.col("df") > HOT_TOKEN) & (F.col("rn") <= _prefix(threshold) + 1))
         .groupBy("set_id", "n", *extra)
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "tok"))).alias("head"))
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "tok"))).alias("head"))
         .withColumns({"prefix": _prefix(threshold), "tiny": tiny})
     )
 

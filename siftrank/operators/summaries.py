@@ -25,7 +25,7 @@ def counts_text(df: DataFrame, column: str, empty: str, position: str = "rank_po
                 name: str = "summary") -> DataFrame:
     """One row: ``value: n`` per value, in order of first appearance."""
     counts = value_counts(df, column, position)
-    entries = F.array_sort(F.collect_list(F.struct("first_seen", "value", "rows")))
+    entries = F.sort_array(F.collect_list(F.struct("first_seen", "value", "rows")))
     text = F.array_join(
         F.transform(entries, lambda e: F.concat(e["value"], F.lit(": "), e["rows"].cast("string"))), ", "
     )
@@ -160,7 +160,7 @@ def status_values(df: DataFrame, column: str, name: str = "status_values") -> Da
 
 
 def _status_list(column: str, separator: str) -> Column:
-    return F.array_join(F.array_sort(F.collect_set(filled(strip(column)))), separator)
+    return F.array_join(F.sort_array(F.collect_set(filled(strip(column)))), separator)
 
 
 SOURCES = {

@@ -145,7 +145,7 @@ select ord, count(*) as n_bits, min(bit) as low, max(bit) as high, sum(bit)::big
 def feature_set(spark, sf):
     """Fixed-width feature bits of whole texts."""
     d = B.document_rows(spark, sf).where(F.col("key").isNotNull()).select("ord", K.feature_set("key").alias("bits"))
-    b = d.select("ord", F.explode("bits").alias("bit"))
+    b = d.select("ord", F.explode_outer("bits").alias("bit"))
     return b.groupBy("ord").agg(F.count("*").alias("n_bits"), F.min("bit").cast("bigint").alias("low"),
                                 F.max("bit").cast("bigint").alias("high"), F.sum("bit").alias("total"))
 
