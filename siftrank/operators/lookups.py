@@ -13,6 +13,7 @@ from siftrank.functions.text import filled, first_filled, strip
 from siftrank.operators.joins import attach_per_key
 from siftrank.operators.similarity import collapse_sets, similar_between
 from siftrank.schemas import LOOKUP_RESULTS, column_type
+from siftrank.session import durable
 
 CACHE_STATUS = {
     "identity": "pubchem_cache_status",
@@ -304,7 +305,7 @@ def with_bioactivity(rows: DataFrame, molecules: DataFrame, activities: DataFram
                      cache: DataFrame | None = None, threshold: float = V.LOOKUP_SIMILARITY,
                      retry_failed: bool = False) -> DataFrame:
     """Bioactivity lookup of all rows; ``rows`` carry ``features``."""
-    keys = distinct_keys(rows, ["features"])
+    keys = durable(distinct_keys(rows, ["features"]))  # read by every branch of the waterfall
     hits, misses = _split(keys, cache, "bioactivity", retry_failed)
     fresh = lookup_bioactivity(misses, molecules, activities, threshold)
     return attach_results(rows, keys, _union(hits, fresh), "bioactivity")
