@@ -18,16 +18,22 @@ def attach_per_key(
 ) -> DataFrame:
     """Join one-row-per-key columns to many rows without piling a hot key on one task.
 
-    ``per_key[weight]`` is the number of rows of the key.  Keys heavier than
-    ``hot_rows`` are at most ``total / hot_rows`` many, so this part can always
-    be broadcast.  The other keys are joined by shuffle, and rows already
-    served by the broadcast are spread over many partitions there.
+    ``per_key[weight]`` is the number of rows of the key.  The per-key table is
+    stored first (it is read more than once) and checked for keys heavier than
+    ``hot_rows``; without any this is a plain join.  Otherwise the heavy keys,
+    at most ``total / hot_rows`` many, are broadcast, the other keys are joined
+    by shuffle, and rows already served by the broadcast are spread over many
+    partitions there.
     """
+    per_key = durable(per_key)
+    heavy = F.col(weight) > hot_rows
+    if per_key.where(heavy).isEmpty():
+        return rows.join(per_key, keys, how).select(
+            *rows.columns, *[c for c in per_key.columns if c not in keys]
+        )
     values = [c for c in per_key.columns if c not in keys]
-    hot = per_key.where(F.col(weight) > hot_rows).select(
-        *keys, F.struct(*values).alias("_hot")
-    )
-    cold = per_key.where(F.col(weight) <= hot_rows).select(
+    hot = per_key.where(heavy).select(*keys, F.struct(*values).alias("_hot"))
+    cold = per_key.where(~heavy).select(
         *keys, F.lit(0).cast("bigint").alias("_spread"), F.struct(*values).alias("_cold")
     )
     spread = F.when(

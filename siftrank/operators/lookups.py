@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from siftrank.functions.payloads import document_url, preferred_name
 from siftrank.functions.text import filled, first_filled, strip
 from siftrank.operators.joins import attach_per_key
 from siftrank.operators.similarity import collapse_sets, similar_between
+from siftrank.options import RunOptions
 from siftrank.schemas import LOOKUP_RESULTS, column_type
 from siftrank.session import durable
 
@@ -85,6 +88,20 @@ def _shaped(df: DataFrame, source: str, values: dict[str, object]) -> DataFrame:
     return df.select("identity_key", F.struct(*fields).alias("result"))
 
 
+@dataclass(frozen=True)
+class LookupTables:
+    """Snapshot tables and caches of the lookups; only those switched on are needed."""
+
+    compounds: DataFrame | None = None
+    molecules: DataFrame | None = None
+    activities: DataFrame | None = None
+    chemicals: DataFrame | None = None
+    documents: DataFrame | None = None
+    identity_cache: DataFrame | None = None
+    bioactivity_cache: DataFrame | None = None
+    document_cache: DataFrame | None = None
+
+
 # ---- one fetch per source ---------------------------------------------------
 
 
@@ -148,12 +165,12 @@ def lookup_bioactivity(
     first = molecules.groupBy("identity_key").agg(
         F.min_by(F.struct("molecule_id", "pref_name"), "ord").alias("m")
     )
-    summary = activity_summary(activities)
+    summary = durable(activity_summary(activities))
     exact = keys.select("identity_key").join(first, "identity_key").select(
         "identity_key", "m.molecule_id", "m.pref_name", F.lit(None).cast("double").alias("similarity")
     )
     missed = keys.join(first, "identity_key", "left_anti")
-    similar = _most_similar(missed, molecules, threshold)
+    similar = durable(_most_similar(missed, molecules, threshold))
     unmatched = missed.join(similar, "identity_key", "left_anti")
 
     def found(df: DataFrame, is_exact: bool) -> DataFrame:
@@ -277,28 +294,57 @@ def distinct_keys(rows: DataFrame, extra: list[str] | None = None, ordinal: str
     ).select("identity_key", "_row.*", "uses")
 
 
-def attach_results(rows: DataFrame, keys: DataFrame, results: DataFrame, source: str) -> DataFrame:
-    """Add the columns of a source to every row; invalid rows get the fixed values.
+def attach_results(rows: DataFrame, per_key: DataFrame, sources: list[str]) -> DataFrame:
+    """Add the columns of the looked-up sources to every row in one join.
 
-    ``keys(identity_key, uses)`` tells how many rows share a key, so a key used
-    by very many rows is broadcast instead of shuffled.
+    ``per_key(identity_key, uses, <source>…)`` holds one result struct per
+    source; ``uses`` tells how many rows share the key, so a key of very many
+    rows is broadcast instead of shuffled.  Invalid rows get the fixed values
+    and are spread over partitions.
     """
-    weighted = keys.select("identity_key", "uses").join(results, "identity_key")
     usable = F.coalesce("valid_molecule", F.lit(False)) & filled("canonical_smiles").isNotNull()
     nowhere = F.concat(F.lit("\u0000"), F.pmod(F.hash("ord"), F.lit(997)).cast("string"))
     keyed = rows.withColumn("identity_key", F.when(usable, F.col("canonical_smiles")).otherwise(nowhere))
-    joined = attach_per_key(keyed, weighted, ["identity_key"], "uses")
-    result = F.coalesce("result", fixed_result(source, INVALID_ROW[source]))
-    return joined.withColumn("result", result).select(*rows.columns, "result.*")
+    joined = attach_per_key(keyed, per_key.select("identity_key", "uses", *sources), ["identity_key"], "uses")
+    results = [F.coalesce(s, fixed_result(s, INVALID_ROW[s])).alias(s) for s in sources]
+    return joined.select(*rows.columns, *results).select(*rows.columns, *[f"{s}.*" for s in sources])
+
+
+def identity_results(keys: DataFrame, compounds: DataFrame, cache: DataFrame | None = None,
+                     retry_failed: bool = False) -> DataFrame:
+    """``(identity_key, result)`` of distinct keys: cached ones first, then fresh ones."""
+    hits, misses = _split(keys, cache, "identity", retry_failed)
+    return _union(hits, lookup_identity(misses, compounds))
+
+
+def bioactivity_results(keys: DataFrame, molecules: DataFrame, activities: DataFrame,
+                        cache: DataFrame | None = None, threshold: float = V.LOOKUP_SIMILARITY,
+                        retry_failed: bool = False) -> DataFrame:
+    """The same for the bioactivity waterfall; ``keys`` carry ``features``."""
+    hits, misses = _split(keys, cache, "bioactivity", retry_failed)
+    return _union(hits, lookup_bioactivity(misses, molecules, activities, threshold))
+
+
+def document_results(keys: DataFrame, chemicals: DataFrame, documents: DataFrame,
+                     cache: DataFrame | None = None, base_url: str = V.DOCUMENT_BASE_URL,
+                     retry_failed: bool = False) -> DataFrame:
+    """The same for documents; ``keys`` carry the ids found by the earlier lookups."""
+    hits, misses = _split(keys, cache, "document", retry_failed)
+    return _union(hits, lookup_documents(misses, chemicals, documents, base_url))
+
+
+def _with(rows: DataFrame, keys: DataFrame, results: DataFrame, source: str) -> DataFrame:
+    per_key = keys.select("identity_key", "uses").join(
+        results.withColumnRenamed("result", source), "identity_key"
+    )
+    return attach_results(rows, per_key, [source])
 
 
 def with_identity(rows: DataFrame, compounds: DataFrame, cache: DataFrame | None = None,
                   retry_failed: bool = False) -> DataFrame:
     """Identity lookup of all rows."""
-    keys = distinct_keys(rows)
-    hits, misses = _split(keys, cache, "identity", retry_failed)
-    fresh = lookup_identity(misses, compounds)
-    return attach_results(rows, keys, _union(hits, fresh), "identity")
+    keys = durable(distinct_keys(rows))
+    return _with(rows, keys, identity_results(keys, compounds, cache, retry_failed), "identity")
 
 
 def with_bioactivity(rows: DataFrame, molecules: DataFrame, activities: DataFrame,
@@ -306,9 +352,8 @@ def with_bioactivity(rows: DataFrame, molecules: DataFrame, activities: DataFram
                      retry_failed: bool = False) -> DataFrame:
     """Bioactivity lookup of all rows; ``rows`` carry ``features``."""
     keys = durable(distinct_keys(rows, ["features"]))  # read by every branch of the waterfall
-    hits, misses = _split(keys, cache, "bioactivity", retry_failed)
-    fresh = lookup_bioactivity(misses, molecules, activities, threshold)
-    return attach_results(rows, keys, _union(hits, fresh), "bioactivity")
+    found = bioactivity_results(keys, molecules, activities, cache, threshold, retry_failed)
+    return _with(rows, keys, found, "bioactivity")
 
 
 def with_documents(rows: DataFrame, chemicals: DataFrame, documents: DataFrame,
@@ -319,10 +364,51 @@ def with_documents(rows: DataFrame, chemicals: DataFrame, documents: DataFrame,
         "cid": F.col("pubchem_cid"),
         "molecule_id": first_filled("chembl_molecule_id", "chembl_similarity_molecule_id"),
     })
-    keys = distinct_keys(ids, ["cid", "molecule_id"])
-    hits, misses = _split(keys, cache, "document", retry_failed)
-    fresh = lookup_documents(misses, chemicals, documents, base_url)
-    return attach_results(rows, keys, _union(hits, fresh), "document")
+    keys = durable(distinct_keys(ids, ["cid", "molecule_id"]))
+    return _with(rows, keys, document_results(keys, chemicals, documents, cache, base_url, retry_failed), "document")
+
+
+def with_lookups(
+    rows: DataFrame, tables: LookupTables, options: RunOptions, keyed: DataFrame | None = None
+) -> DataFrame:
+    """All requested lookups of a run.
+
+    ``keyed`` is a stored table with the key columns (and ``features``) of the
+    same rows, so that finding the distinct keys does not recompute ``rows``.
+
+    Each source works on the distinct keys only and hands its ids to the next;
+    the rows themselves are joined once, to all results together.  A source
+    that is off adds constants and no join.
+    """
+    wanted = {
+        "identity": options.wants_identity, "bioactivity": options.bioactivity_lookup,
+        "document": options.document_lookup,
+    }
+    on = [s for s, requested in wanted.items() if requested]
+    retry = options.retry_failed
+    if on:
+        source = rows if keyed is None else keyed
+        keys = durable(distinct_keys(source, ["features"] if "features" in source.columns else None))
+        narrow = keys.select("identity_key", "uses")
+        cid = molecule = F.lit(None).cast("string")
+        if "identity" in on:
+            found = durable(identity_results(keys, tables.compounds, tables.identity_cache, retry))
+            narrow = narrow.join(found.withColumnRenamed("result", "identity"), "identity_key")
+            cid = F.col("identity.pubchem_cid")
+        if "bioactivity" in on:
+            found = durable(bioactivity_results(keys, tables.molecules, tables.activities, tables.bioactivity_cache,
+                                                options.lookup_similarity, retry))
+            narrow = narrow.join(found.withColumnRenamed("result", "bioactivity"), "identity_key")
+            molecule = first_filled("bioactivity.chembl_molecule_id", "bioactivity.chembl_similarity_molecule_id")
+        if "document" in on:
+            ids = durable(narrow.select("identity_key", cid.alias("cid"), molecule.alias("molecule_id")))
+            found = document_results(ids, tables.chemicals, tables.documents, tables.document_cache, retry_failed=retry)
+            narrow = narrow.join(found.withColumnRenamed("result", "document"), "identity_key")
+        rows = attach_results(rows, narrow, on)
+    for source in wanted:
+        if source not in on:
+            rows = not_requested(rows, source)
+    return rows
 
 
 def _split(keys, cache, source, retry_failed):
