@@ -7,8 +7,11 @@ inverted index whose tokens are ordered from rare to frequent.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -222,9 +225,10 @@ def best_partners(sets: DataFrame, cold: int = COLD_TOKEN) -> DataFrame:
 
     ``sets(set_id, n, features, probe, target, tie)``: ties in similarity go to
     the smallest ``tie``.  Probes that share no feature with any target are
-    absent.  Exact, in two steps: overlaps over rare tokens are counted, which
-    gives every probe a similarity it surely reaches; only pairs that could
-    still beat this through frequent tokens are then looked up and verified.
+    absent.  Exact, without ever listing the pairs that share only frequent
+    ("hot") tokens: pairs that share a rare token are counted one by one; for
+    all others the similarity depends on the partner's hot tokens and size
+    alone, so partners with equal hot tokens are represented by their smallest.
     """
     tokens = durable(ranked_tokens(sets.select("set_id", "n", "features", "probe", "target"),
                                    ["probe", "target"]))
@@ -235,40 +239,61 @@ def best_partners(sets: DataFrame, cold: int = COLD_TOKEN) -> DataFrame:
         scored = counted.select("a", "b", ratio(F.col("shared"), F.col("n_a"), F.col("n_b")).alias("similarity"))
         return _pick(scored, ties)
 
-    counted = durable(counted)
-    lower = counted.groupBy("a").agg(
-        F.max(ratio(F.col("shared"), F.col("n_a"), F.col("n_b"))).alias("reach")
+    hot = durable(
+        hot_tokens.groupBy("set_id", "n", "probe", "target").agg(F.sort_array(F.collect_list("tok")).alias("hot"))
     )
-    heavy = hot_tokens.groupBy("set_id").agg(F.count("*").cast("int").alias("hot"))
-    by_count = (
-        counted.join(lower, "a")
-        .join(heavy.toDF("a", "hot_a"), "a", "left").join(heavy.toDF("b", "hot_b"), "b", "left")
-        .withColumn("most", F.col("shared") + F.least(
-            F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))))
-        .where(ratio(F.col("most"), F.col("n_a"), F.col("n_b")) >= F.col("reach") - 1e-12)
-        .select("a", "b")
+    return _pick(_with_hot(counted, hot).unionByName(_hot_only(hot, sets)), ties)
+
+
+def _with_hot(counted: DataFrame, hot: DataFrame) -> DataFrame:
+    """Exact similarity of pairs that share a cold token: their shared hot tokens are added."""
+    none = F.array().cast("array<bigint>")
+    for side in "ab":
+        arrays = hot.where("probe" if side == "a" else "target").select(
+            F.col("set_id").alias(side), F.col("hot").alias(f"hot_{side}")
+        )
+        counted = counted.join(arrays, side, "left")
+    more = F.size(F.array_intersect(F.coalesce("hot_a", none), F.coalesce("hot_b", none)))
+    total = counted.withColumn("all", (F.col("shared") + more).cast("int"))
+    return total.select("a", "b", ratio(F.col("all"), F.col("n_a"), F.col("n_b")).alias("similarity"))
+
+
+def _hot_only(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per probe the best partners over hot tokens alone, one per number of shared tokens.
+
+    Among targets with the same hot tokens the smallest set is best (then the
+    smallest tie); for a given group of probes and number of shared tokens the
+    same holds over all groups.  A probe's own group needs a second choice,
+    since a set is no partner of itself.  When such a partner shares cold tokens
+    as well, its true, larger similarity is among the counted pairs.
+    """
+    grouped = hot.withColumn("grp", F.md5(F.array_join("hot", ",").cast("binary")))
+    rank = F.struct("n", "tie", F.col("set_id").alias("b"))
+    targets = grouped.where("target").join(sets.where("target").select("set_id", "tie"), "set_id").select(
+        "grp", "hot", "set_id", rank.alias("rank")
+    )
+    lead = durable(targets.groupBy("grp").agg(F.min("rank").alias("lead"), F.first("hot").alias("hot")))
+    wanted = durable(grouped.where("probe").groupBy("grp").agg(F.first("hot").alias("hot")))
+    i = wanted.select(F.col("grp").alias("i"), F.explode("hot").alias("tok"))
+    j = lead.select(F.col("grp").alias("j"), "lead", F.explode("hot").alias("tok"))
+    met = i.join(j, "tok").groupBy("i", "j").agg(F.count("*").alias("shared"), F.first("lead").alias("lead"))
+    others = met.where(F.col("i") != F.col("j")).groupBy("i", "shared").agg(F.min("lead").alias("best"))
+    probes = grouped.where("probe").select("grp", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.size("hot").alias("own"))
+    outside = probes.join(others.withColumnRenamed("i", "grp"), "grp").select(
+        "a", "n_a", F.col("shared").cast("int").alias("shared"), "best"
     )
-    probes = (
-        hot_tokens.where("probe").select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), "tok",
-                                         F.col("rn").alias("rn_a"), F.col("df").alias("df_a"))
-        .join(lower, "a", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
-        .where(F.col("rn_a") <= F.col("n_a") - F.greatest(_ceil(F.col("reach") * F.col("n_a")), F.lit(1)) + 1)
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.floor(F.col("df_a") / BLOCK).cast("int"))))
+    second = targets.join(lead.select("grp", "lead"), "grp").where(F.col("rank") != F.col("lead")).groupBy("grp").agg(
+        F.min("rank").alias("second")
     )
-    others = hot_tokens.where("target").select(
-        F.col("set_id").alias("b"), F.col("n").alias("n_b"), "tok", F.col("rn").alias("rn_b"),
-        F.pmod(F.hash("set_id"), F.floor(F.col("df") / BLOCK).cast("int") + 1).alias("slot"),
+    choice = F.when(F.col("lead.b") != F.col("a"), F.col("lead")).otherwise(F.col("second"))
+    inside = (
+        probes.join(lead.select("grp", "lead"), "grp").join(second, "grp", "left")
+        .select("a", "n_a", F.col("own").alias("shared"), choice.alias("best")).where(F.col("best").isNotNull())
     )
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    by_token = (
-        probes.join(others, ["tok", "slot"])
-        .where((F.col("a") != F.col("b")) & (small >= _ceil(F.col("reach") * large))
-               & (F.col("rn_b") <= F.col("n_b") - _ceil(F.col("reach") * F.col("n_b")) + 1))
-        .select("a", "b")
+    return outside.unionByName(inside).select(
+        "a", F.col("best.b").alias("b"),
+        ratio(F.col("shared"), F.col("n_a"), F.col("best.n")).alias("similarity"),
     )
-    pairs = by_count.unionByName(by_token).distinct()
-    scored = _verified(pairs, sets.where("probe"), sets.where("target"))
-    return _pick(scored.select("a", "b", "similarity"), ties)
 
 
 def _pick(scored: DataFrame, ties: DataFrame) -> DataFrame:
@@ -338,6 +363,52 @@ def reference_is_small(reference: DataFrame) -> bool:
     return size["rows"] <= SMALL_REFERENCE and (size["features"] or 0) <= SMALL_REFERENCE_FEATURES
 
 
+def _closest_small(rows: DataFrame, reference: DataFrame, ordinal: str) -> DataFrame:
+    """Scan a reference of checked size inside the tasks, a batch of rows at a time."""
+    table = reference.select("position", F.col("features").cast("array<bigint>").alias("features")).orderBy(
+        "position"
+    ).toPandas()
+    if table.empty:
+        return rows.limit(0).select(
+            ordinal, F.lit(0).cast("bigint").alias("closest_position"), F.lit(0.0).alias("closest_similarity")
+        )
+    sizes = np.array([len(f) for f in table["features"]])
+    owner = np.repeat(np.arange(len(table)), sizes)
+    feature = np.concatenate(list(table["features"])).astype(np.int64)
+    order = np.argsort(feature, kind="stable")
+    shared_index = rows.sparkSession.sparkContext.broadcast(
+        (table["position"].to_numpy(np.int64), sizes, feature[order], owner[order])
+    )
+
+    @F.pandas_udf("closest_position bigint, similarity double")
+    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        position, size, sorted_features, owners = shared_index.value
+        step = max(1, 4_000_000 // len(position))
+        for features in batches:
+            parts = []
+            for start in range(0, len(features), step):
+                block = features.iloc[start:start + step]
+                n = np.array([len(f) for f in block])
+                flat = np.concatenate(list(block)).astype(np.int64)
+                low = np.searchsorted(sorted_features, flat, "left")
+                hits = np.searchsorted(sorted_features, flat, "right") - low
+                inside = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
+                cell = np.repeat(np.repeat(np.arange(len(n)), n), hits) * len(position)
+                cell = cell + owners[np.repeat(low, hits) + inside]
+                shared = np.bincount(cell, minlength=len(n) * len(position)).reshape(len(n), -1)
+                ratio_ = shared / (n[:, None] + size[None, :] - shared)
+                best = ratio_.argmax(axis=1)  # the first maximum is the first position
+                parts.append(pd.DataFrame({
+                    "closest_position": position[best], "similarity": ratio_[np.arange(len(n)), best],
+                }))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
+                {"closest_position": np.array([], np.int64), "similarity": np.array([], float)}
+            )
+
+    scored = rows.select(ordinal, closest(F.col("features").cast("array<bigint>")).alias("c"))
+    return scored.select(ordinal, "c.closest_position", round_dp("c.similarity", 3).alias("closest_similarity"))
+
+
 def closest_reference(
     candidates: DataFrame, reference: DataFrame, ordinal: str = "ord", small: bool | None = None,
     cold: int = COLD_TOKEN,
@@ -346,25 +417,13 @@ def closest_reference(
 
     ``reference(position, features)``.  Ties go to the first position; a
     candidate that shares nothing still gets the first reference, at 0.  A
-    reference of measured small size is broadcast and scanned per row without
-    emitting pairs; a large one goes through the inverted index.
+    reference of measured small size is broadcast and scanned inside the tasks
+    without emitting pairs; a large one goes through the inverted index.
     """
     reference = reference.where(F.size("features") > 0).select("position", "features")
     rows = candidates.where(F.size("features") > 0).select(ordinal, "features")
     if reference_is_small(reference) if small is None else small:
-        packed = reference.agg(F.collect_list(F.struct("position", "features")).alias("refs"))
-        scored = F.transform(
-            "refs",
-            lambda r: F.struct(
-                tanimoto(r["features"], F.col("features")).alias("similarity"),
-                (-r["position"]).alias("back"),
-            ),
-        )
-        best = rows.crossJoin(F.broadcast(packed)).select(ordinal, F.array_max(scored).alias("best"))
-        return best.where(F.col("best").isNotNull()).select(
-            ordinal, (-F.col("best.back")).alias("closest_position"),
-            round_dp("best.similarity", 3).alias("closest_similarity"),
-        )
+        return _closest_small(rows, reference, ordinal)
 
     probes = collapse_sets(rows, ordinal, "features")
     targets = collapse_sets(reference, "position", "features")

@@ -28,9 +28,7 @@ D_SQL = B.with_sql("docs")
 def scored_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates from ``part`` with every row-level column."""
     raw = B.modelled_parts(spark, sf)
-    base = base_columns(raw)
-    model = raw.select("ord", "bbb_prediction", "bbb_probability", "bbb_model_status")
-    return with_scores(base.join(model, "ord"))
+    return with_scores(base_columns(raw, ("bbb_prediction", "bbb_probability", "bbb_model_status")))
 
 
 @query("rank_candidates", P + """,
@@ -43,12 +41,11 @@ select s.molecule_id, s.valid_molecule, s.priority_score,
 from scored_p s left join known k using (molecule_id)""")
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship flow: key, validate, score, match exactly, rank."""
-    rows = scored_parts(spark, sf)
+    rows = rank_positions(scored_parts(spark, sf))
     known = base_columns(B.parts(spark, sf)).where((F.col("ord") % 10 == 0) & F.col("valid_molecule"))
     reference = known.select(F.col("canonical_smiles").alias("key"), F.col("molecule_id").alias("name"),
                              F.lit("part").alias("source"), F.col("molecule_id").alias("compound_id"))
-    matched = identity_join(rows, reference)
-    return rank_positions(matched).select(
+    return identity_join(rows, reference).select(
         "molecule_id", "valid_molecule", "priority_score", "error", "identity_check_status", "rank_position")
 
 
