@@ -38,8 +38,11 @@ class DistinctSets:
 
 def collapse_sets(df: DataFrame, ordinal: str, features: str) -> DistinctSets:
     """Give rows with equal feature sets one ``set_id``, the smallest ordinal among them."""
-    signature = F.md5(F.array_join(F.sort_array(F.col(features)), ",").cast("binary"))
-    rows = durable(df.where(F.size(features) > 0).withColumn("_sig", signature))
+    signature = F.md5(F.array_join(F.sort_array(F.col("_features")), ",").cast("binary"))
+    # Stored before it is filtered: a filter on a computed array would be pushed
+    # below and make Spark compute the features of every text twice.
+    stored = durable(df.withColumn("_features", F.col(features)).drop(features).withColumn("_sig", signature))
+    rows = stored.withColumnRenamed("_features", features).where(F.size(features) > 0)
     per_sig = rows.groupBy("_sig").agg(
         F.min(ordinal).alias("set_id"), F.count("*").alias("members")
     )
@@ -420,8 +423,8 @@ def closest_reference(
     reference of measured small size is broadcast and scanned inside the tasks
     without emitting pairs; a large one goes through the inverted index.
     """
-    reference = reference.where(F.size("features") > 0).select("position", "features")
-    rows = candidates.where(F.size("features") > 0).select(ordinal, "features")
+    reference = durable(reference.select("position", "features")).where(F.size("features") > 0)
+    rows = durable(candidates.select(ordinal, "features")).where(F.size("features") > 0)
     if reference_is_small(reference) if small is None else small:
         return _closest_small(rows, reference, ordinal)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftrank.functions.keys import hashed_features, identity_key, validity, word_shingles
 from siftrank.functions.numbers import round_dp
 from siftrank.functions.scoring import normalize_label
-from siftrank.session import scratch_path
+from siftrank.session import durable, scratch_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,7 @@ REFERENCE_SOURCES = ["src0", "src1", "src2", "src3", "src4"]
 
 def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as keyed rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("ord"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("molecule_id"),
         F.col("text").alias("smiles"), "source", "lang", "n_chars", identity_key("text").alias("key"),
@@ -88,6 +88,7 @@ def candidate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validated(rows: DataFrame) -> DataFrame:
+    rows = durable(rows)  # normalise every text once, whatever is derived from the key
     return rows.withColumn("_v", validity("smiles", F.col("key"))).select(
         "ord", "molecule_id", "source", "_v.*",
         ((F.col("ord") % 101) / 100).alias("_raw"),
