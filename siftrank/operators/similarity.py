@@ -24,6 +24,7 @@ from siftrank.session import durable
 HOT_TOKEN = 2_000  # sets holding a token before it needs a second token as key
 BLOCK = 4_000  # sets of one key that one task compares among themselves
 COLD_TOKEN = 1_000  # sets holding a token up to which overlaps are simply counted
+MASK_TOKENS = 62  # hot tokens that fit into one number
 SMALL_REFERENCE = 2_048  # reference rows that are broadcast
 SMALL_REFERENCE_FEATURES = 1_000_000  # and their features in total
 
@@ -212,17 +213,35 @@ def similar_between(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return _verified(found, left, right).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def _cold_overlaps(tokens: DataFrame, cold: int) -> DataFrame:
+def _cold_overlaps(tokens: DataFrame, cold: int, carry: list[str] | None = None) -> DataFrame:
     """Shared cold tokens per (probe, other) pair; at most ``cold`` partners per posting."""
-    few = tokens.where(F.col("df") <= cold)
-    probe = few.where("probe").select("tok", F.col("set_id").alias("a"), F.col("n").alias("n_a"))
-    other = few.where("target").select("tok", F.col("set_id").alias("b"), F.col("n").alias("n_b"))
+    carry = carry or []
+
+    def side(flag: str, name: str) -> DataFrame:
+        return tokens.where((F.col("df") <= cold) & F.col(flag)).select(
+            "tok", F.col("set_id").alias(name), F.col("n").alias(f"n_{name}"),
+            *[F.col(c).alias(f"{c}_{name}") for c in carry],
+        )
+
+    kept = [f"{c}_{x}" for c in carry for x in "ab"]
     return (
-        probe.join(other, "tok").where(F.col("a") != F.col("b"))
-        .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+        side("probe", "a").join(side("target", "b"), "tok").where(F.col("a") != F.col("b"))
+        .groupBy("a", "b", "n_a", "n_b", *kept).agg(F.count("*").alias("shared"))
     )
 
 
+def _masked(tokens: DataFrame, cold: int) -> DataFrame | None:
+    """Add the hot tokens of the set as the bits of one number; None if they are too many."""
+    names = [r["tok"] for r in tokens.where(F.col("df") > cold).select("tok").distinct().limit(MASK_TOKENS + 1).collect()]
+    if len(names) > MASK_TOKENS:
+        return None
+    bit = F.lit(None).cast("bigint")
+    for number, name in enumerate(sorted(names)):
+        bit = F.when(F.col("tok") == name, F.lit(1 << number).cast("bigint")).otherwise(bit)
+    own = Window.partitionBy("set_id", "probe", "target")
+    return tokens.withColumn("mask", F.coalesce(F.bit_or(bit).over(own), F.lit(0).cast("bigint")))
+
+
 def best_partners(sets: DataFrame, cold: int = COLD_TOKEN) -> DataFrame:
     """For every probe set the most similar target set: ``(set_id, partner, similarity)``.
 
@@ -235,17 +254,24 @@ def best_partners(sets: DataFrame, cold: int = COLD_TOKEN) -> DataFrame:
     """
     tokens = durable(ranked_tokens(sets.select("set_id", "n", "features", "probe", "target"),
                                    ["probe", "target"]))
-    counted = _cold_overlaps(tokens, cold)
     ties = sets.where("target").select(F.col("set_id").alias("b"), "tie")
     hot_tokens = tokens.where(F.col("df") > cold)
     if hot_tokens.isEmpty():
+        counted = _cold_overlaps(tokens, cold)
         scored = counted.select("a", "b", ratio(F.col("shared"), F.col("n_a"), F.col("n_b")).alias("similarity"))
         return _pick(scored, ties)
 
     hot = durable(
         hot_tokens.groupBy("set_id", "n", "probe", "target").agg(F.sort_array(F.collect_list("tok")).alias("hot"))
     )
-    return _pick(_with_hot(counted, hot).unionByName(_hot_only(hot, sets)), ties)
+    masked = _masked(tokens, cold)
+    if masked is None:
+        scored = _with_hot(_cold_overlaps(tokens, cold), hot)
+    else:
+        counted = _cold_overlaps(masked, cold, ["mask"])
+        total = F.col("shared").cast("int") + F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b")))
+        scored = counted.select("a", "b", ratio(total, F.col("n_a"), F.col("n_b")).alias("similarity"))
+    return _pick(scored.unionByName(_hot_only(hot, sets)), ties)
 
 
 def _with_hot(counted: DataFrame, hot: DataFrame) -> DataFrame:

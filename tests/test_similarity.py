@@ -39,9 +39,11 @@ def frame(spark, sets):
     return rank_positions(df)
 
 
-@pytest.fixture(params=["plain", "skewed"])
+@pytest.fixture(params=["plain", "skewed", "many_hot"])
 def paths(request, monkeypatch):
-    if request.param == "skewed":
+    if request.param == "many_hot":
+        monkeypatch.setattr(SM, "MASK_TOKENS", 1)
+    if request.param != "plain":
         monkeypatch.setattr(SM, "HOT_TOKEN", 3)
         monkeypatch.setattr(SM, "BLOCK", 4)
         monkeypatch.setattr(SM, "COLD_TOKEN", 3)
