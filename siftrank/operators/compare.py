@@ -74,9 +74,10 @@ def _sort_label(suffix: str) -> Column:
     return F.coalesce(*names, F.lit(""))
 
 
-def in_comparison_order(rows: DataFrame) -> DataFrame:
-    """By label; the key makes the order total."""
-    return rows.orderBy("sort_label", "comparison_key")
+def in_comparison_order(rows: DataFrame, collation: str | None = None) -> DataFrame:
+    """By label, in a locale order such as ``UNICODE`` if named; the key makes the order total."""
+    label = F.collate("sort_label", collation) if collation else F.col("sort_label")
+    return rows.orderBy(label, "comparison_key")
 
 
 def comparison_summary(rows: DataFrame) -> DataFrame:

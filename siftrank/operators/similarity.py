@@ -23,7 +23,7 @@ from siftrank.session import durable
 
 HOT_TOKEN = 2_000  # sets holding a token before it needs a second token as key
 BLOCK = 4_000  # sets of one key that one task compares among themselves
-COLD_TOKEN = 1_000  # sets holding a token up to which overlaps are simply counted
+COLD_TOKEN = 300  # sets holding a token up to which overlaps are simply counted
 MASK_TOKENS = 62  # hot tokens that fit into one number
 SMALL_REFERENCE = 2_048  # reference rows that are broadcast
 SMALL_REFERENCE_FEATURES = 1_000_000  # and their features in total

@@ -99,7 +99,7 @@ def cached_result(payload: Column | str, source: str) -> tuple[Column, Column]:
     """
     text = col(payload)
     schema = LOOKUP_RESULTS[source]
-    is_object = F.coalesce(F.get_json_object(text, "$") .startswith("{"), F.lit(False))
+    is_object = F.coalesce(F.get_json_object(text, "$").startswith("{"), F.lit(False))
     body = F.get_json_object(text, "$.result")
     whole = F.coalesce(body.startswith("{"), F.lit(False))
     parsed = F.from_json(body, schema)

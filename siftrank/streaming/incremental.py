@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from siftrank.functions.numbers import iso_text, utc_seconds
+from siftrank.options import RunOptions
 from siftrank.schemas import RUN_SCHEMA
 from siftrank.sources.readers import read_candidates
 from siftrank.sources.writers import upsert_run, write_ranked
@@ -29,11 +31,13 @@ def run_id(path: str) -> Column:
 
 def incremental_runs(
     spark: SparkSession, source_dir: str, tables: RunTables, checkpoint: str,
-    run: Callable[[DataFrame], DataFrame], files_per_batch: int = 16, available_now: bool = True,
+    run: Callable[[DataFrame], DataFrame], options: RunOptions = RunOptions(), files_per_batch: int = 16,
+    available_now: bool = True,
 ) -> StreamingQuery:
     """Start a stream over ``source_dir``; file tracking is exactly-once by the checkpoint.
 
-    ``run`` turns the candidates of one file into result rows.  Ranking and
+    ``run`` turns the candidates of one file into result rows; ``options`` says
+    which lookups it requests, for the run history.  Ranking and
     diversity are per run, so files are independent; the driver only walks the
     names of at most ``files_per_batch`` files, the rows stay distributed.  A
     file that fails marks its own run failed and does not stop the others.
@@ -47,7 +51,7 @@ def incremental_runs(
 
     def per_batch(batch: DataFrame, _: int) -> None:
         for row in batch.select("path").distinct().orderBy("path").toLocalIterator():
-            one_file(spark, row["path"], tables, run)
+            one_file(spark, row["path"], tables, run, options)
 
     writer = arrivals.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:
@@ -55,28 +59,32 @@ def incremental_runs(
     return writer.start()
 
 
-def one_file(spark: SparkSession, path: str, tables: RunTables, run: Callable[[DataFrame], DataFrame]) -> None:
+def one_file(
+    spark: SparkSession, path: str, tables: RunTables, run: Callable[[DataFrame], DataFrame],
+    options: RunOptions = RunOptions(),
+) -> None:
     """Validate, run and store one file, with its state before and after."""
-    job = spark.range(1).select(run_id(path).alias("job_id")).first()["job_id"]
-    _state(spark, tables, job, path, "running")
+    begun = spark.range(1).select(run_id(path).alias("job_id"), iso_text(utc_seconds()).alias("at")).first()
+    job, created = begun["job_id"], begun["at"]
+    _state(spark, tables, job, path, "running", options, created)
     try:
         write_ranked(run(read_candidates(spark, path)), tables.results, job)
         stored = spark.read.parquet(tables.results).where(F.col("job_id") == job)
-        _state(spark, tables, job, path, "completed", rows=stored.count())
+        _state(spark, tables, job, path, "completed", options, created, rows=stored.count())
     except Exception as exc:  # noqa: BLE001 - the failure belongs to this run only
-        _state(spark, tables, job, path, "failed", error=str(exc).splitlines()[0][:500])
+        _state(spark, tables, job, path, "failed", options, created, error=str(exc).splitlines()[0][:500])
 
 
-def _state(spark, tables, job, path, status, rows=0, error=""):
+def _state(spark, tables, job, path, status, options, created, rows=0, error=""):
     values = {
+        "created_at": created,
+        "public_lookup_requested": options.wants_any, "pubchem_lookup_requested": options.wants_identity,
+        "chembl_lookup_requested": options.bioactivity_lookup, "patent_lookup_requested": options.document_lookup,
         "job_id": job, "status": status, "input_file": path, "output_file": f"{tables.results}/job_id={job}",
         "error_message": error, "row_count": rows,
     }
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     columns = {f.name: F.lit(values.get(f.name)).cast(f.dataType) for f in RUN_SCHEMA.fields}
-    if status == "running":
-        columns["created_at"] = now
-    else:
-        columns["completed_at"] = now
+    if status != "running":
+        columns["completed_at"] = iso_text(utc_seconds())
     state = spark.range(1).select(*[c.alias(n) for n, c in columns.items()], F.current_timestamp().alias("updated_at"))
     upsert_run(state, tables.runs)
