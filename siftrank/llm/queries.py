@@ -31,3 +31,11 @@ def op1_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftrank.llm.lm_scoring import score_text
 
     return score_text(notes(spark, sf_dir)).withColumnRenamed("molecule_id", "doc_id")
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(notes(spark, sf_dir)).select(
+        F.col("molecule_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
