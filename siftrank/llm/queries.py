@@ -39,3 +39,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return remove_repeats(notes(spark, sf_dir)).select(
         F.col("molecule_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.simhash_dedup import group_near_duplicates
+
+    return group_near_duplicates(notes(spark, sf_dir)).withColumnRenamed("molecule_id", "doc_id")
