@@ -106,27 +106,10 @@ def block_rows(
         yield (part << 32 | number, *make(ids, flags, texts))
 
 
-def distinct_keys(keys: np.ndarray, bits: int = 21) -> np.ndarray:
-    """Sorted distinct values of a large uint64 array.
-
-    A first-come table keeps one key per slot, so only table entries and keys that lost
-    their slot have to be sorted.
-    """
-    if len(keys) < 1 << 12:
-        return np.unique(keys)
-    slot = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    table = np.zeros(1 << bits, np.uint64)
-    used = np.zeros(1 << bits, bool)
-    table[slot] = keys
-    used[slot] = True
-    lost = keys[table[slot] != keys]
-    return np.unique(np.concatenate([table[used], np.unique(lost)]))
-
-
 class Places:
     """Position of keys in a sorted array of distinct keys; most are found in one table step."""
 
-    def __init__(self, keys: np.ndarray, bits: int = 21):
+    def __init__(self, keys: np.ndarray, bits: int = 23):
         self.keys, self.bits = keys, bits
         self.table = np.zeros(1 << bits, np.uint32)
         self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.uint32)

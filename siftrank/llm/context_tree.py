@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 7
+DEPTH = 6
 #: Contexts of this length are never cut: each belongs to one range of keys.
 UNIT_DEPTH = 3
 PAD = b"\n"
@@ -129,6 +129,8 @@ def log10_of(keys: np.ndarray, levels: list[Level], top: tuple[np.ndarray, np.nd
         chance = np.full(len(keys), np.nan)
         for d in range(depth, UNIT_DEPTH - 1, -1):
             known, share, estimate = shares[d - UNIT_DEPTH]
+            if not len(known):
+                continue
             node = (keys >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8) | prefix
             here, place = _found(known, node)
             own = estimate[place]
@@ -144,7 +146,5 @@ def log10_of(keys: np.ndarray, levels: list[Level], top: tuple[np.ndarray, np.nd
 
 
 def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(known):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
     place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
     return known[place] == wanted, place

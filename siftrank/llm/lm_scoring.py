@@ -15,11 +15,15 @@ from pyspark.sql import types as T
 
 from siftrank.llm import context_tree as tree
 from siftrank.llm.arrays import (
-    Places, arrow_schema, batches, block_rows, distinct_keys, pack, remainder_of_id, stored, unpack,
+    Places, arrow_schema, batches, block_rows, pack, remainder_of_id, stored, unpack,
 )
 
 END = b"\n"
 MOST_RANGES = 4096
+#: Bytes of text in a block: larger ones send fewer grams for each byte of text.
+BLOCK_BYTES = 16 << 20
+#: Grams of so many bytes of text are handled at a time.
+PART_BYTES = 2 << 20
 _SHARE = "range int, kind int, block long, grams binary, gram_counts binary, words binary, word_counts binary"
 _SHARE_ARROW = pa.schema([
     ("range", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()),
@@ -64,17 +68,19 @@ def score_text(records: DataFrame, id_col: str = "molecule_id", text_col: str =
     n_blocks = blocks.count()
     n_ranges = int(min(MOST_RANGES, max(8, n_blocks // 4)))
 
-    sent = blocks.select("block", "grams", "gram_counts", "words", "word_counts").mapInArrow(
-        lambda frames: _requests(frames, n_ranges, depth), _SHARE)
-    counted = stored(sent.repartition(n_ranges, "range").mapInArrow(_sum_ranges, _SHARE + ", tokens long, kinds long"),
+    def sent(counted: bool) -> DataFrame:
+        return blocks.select("block", "grams", "gram_counts", "words", "word_counts").mapInArrow(
+            lambda frames: _requests(frames, n_ranges, depth, counted), _SHARE)
+
+    counted = stored(sent(True).repartition(n_ranges, "range").mapInArrow(_sum_ranges, _SHARE + ", tokens long, kinds long"),
                      "lm-counts")
     totals = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     top = _top_levels(counted, depth)
     model = counted.drop("tokens", "kinds").join(top, "range", "left")
-    ask = sent.withColumns({c: F.lit(None) for c in ("top_node", "top_own", "top_rest", "top_alone")})
+    ask = sent(False).withColumns({c: F.lit(None) for c in ("top_node", "top_own", "top_rest", "top_alone")})
     answers = model.unionByName(ask).repartition(n_ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(
         lambda frames: _answers(frames, depth), _ANSWER)
-    texts = blocks.select("block", F.lit(1).alias("kind"), "ids", "held", "lengths", "payload")
+    texts = blocks.select("block", F.lit(1).alias("kind"), "ids", "held", "lengths", "payload", "grams")
     parts = max(n_blocks // 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     joined = answers.unionByName(texts, allowMissingColumns=True).repartition(parts, "block")
     out = T.StructType([
@@ -104,26 +110,48 @@ def _blocks(rows: DataFrame, id_type: T.DataType, depth: int) -> DataFrame:
     def make(ids: list, held: list, texts: list) -> tuple:
         lines = [b" ".join(t.lower().split()) + END for t in texts]
         lengths = np.array([len(x) for x in lines], np.uint32)
-        data, keys = _gram_places(lines, lengths, depth)
-        learned = np.repeat(~np.array(held, bool), lengths)
-        grams = distinct_keys(keys)
-        gram_counts = np.bincount(Places(grams).of(keys[learned]), minlength=len(grams)).astype(np.uint64)
-        hashes, counts = _word_counts(lines, held)
-        return (ids, held, pack(lengths), zstandard.ZstdCompressor(level=1).compress(data), pack(grams, True),
-                pack(gram_counts), pack(hashes, True), pack(counts))
-
-    return rows.mapInArrow(lambda frames: batches(schema, block_rows(frames, make), 1), out)
-
-
-def _gram_places(lines: list[bytes], lengths: np.ndarray, depth: int) -> tuple[bytes, np.ndarray]:
-    """The texts in one string, and the gram of every byte of theirs."""
-    data = b"".join(lines)
+        both = {True: [], False: []}
+        for first, last in _parts(lengths):
+            keys, learned = _gram_places(lines[first:last], depth), ~np.array(held[first:last], bool)
+            learned = np.repeat(learned, lengths[first:last])
+            for chosen in both:
+                both[chosen].append(np.unique(keys[learned == chosen], return_counts=True))
+        grams, counts = _summed(both[True])
+        more = np.setdiff1d(_summed(both[False])[0], grams, assume_unique=True)
+        place = np.argsort(np.concatenate([grams, more]), kind="stable")
+        hashes, word_counts = _word_counts(lines, held)
+        return (ids, held, pack(lengths), zstandard.ZstdCompressor(level=1).compress(b"".join(lines)),
+                pack(np.concatenate([grams, more])[place], True),
+                pack(np.concatenate([counts, np.zeros(len(more), np.uint64)])[place]), pack(hashes, True), pack(word_counts))
+
+    return rows.mapInArrow(lambda frames: batches(schema, block_rows(frames, make, BLOCK_BYTES), 1), out)
+
+
+def _parts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last text of parts of a block, of about ``PART_BYTES`` each."""
+    cut = np.flatnonzero(np.diff(np.cumsum(lengths, dtype=np.int64) // PART_BYTES)) + 1
+    return zip([0, *cut.tolist()], [*cut.tolist(), len(lengths)], strict=True)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of (keys, counts) pairs with the sums of their counts."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], np.concatenate([c for _, c in parts])[order].astype(np.uint64)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new], np.add.reduceat(counts, np.flatnonzero(new)) if len(keys) else counts
+
+
+def _gram_places(lines: list[bytes], depth: int) -> np.ndarray:
+    """The gram of every byte of the texts, none of which reaches into another text."""
     pad = tree.PAD * depth
-    spaced = np.frombuffer(pad + pad.join(lines), np.uint8)
-    keys = tree.gram_keys(spaced, depth)
-    ends = np.cumsum(lengths, dtype=np.int64)
-    within = np.arange(len(data), dtype=np.int64)
-    return data, keys[within + np.repeat(np.arange(len(lines)) * depth, lengths)] if len(ends) else keys
+    keys = tree.gram_keys(np.frombuffer(pad + pad.join(lines), np.uint8), depth)
+    inside = np.ones(len(keys), bool)
+    ends = np.cumsum([len(x) + depth for x in lines])[:-1]
+    for back in range(1, depth + 1):
+        inside[ends - back] = False
+    return keys[inside]
 
 
 def _word_counts(lines: list[bytes], held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +176,7 @@ def _range_of(values: np.ndarray, n_ranges: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(n_ranges)).astype(np.int32)
 
 
-def _requests(frames: Iterator[pa.RecordBatch], n_ranges: int, depth: int) -> Iterator[pa.RecordBatch]:
+def _requests(frames: Iterator[pa.RecordBatch], n_ranges: int, depth: int, counted: bool) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for frame in frames:
             for row in frame.to_pylist():
@@ -161,8 +189,8 @@ def _requests(frames: Iterator[pa.RecordBatch], n_ranges: int, depth: int) -> It
                 for r in range(n_ranges):
                     at, word_at = order[cut[r]:cut[r + 1]], word_order[word_cut[r]:word_cut[r + 1]]
                     if len(at) or len(word_at):
-                        yield (r, 1, row["block"], pack(grams[at], True), pack(counts[at]),
-                               pack(words[word_at], True), pack(word_counts[word_at]))
+                        yield (r, 1, row["block"], pack(grams[at], True), pack(counts[at]) if counted else None,
+                               pack(words[word_at], True), pack(word_counts[word_at]) if counted else None)
 
     return batches(_SHARE_ARROW, rows())
 
@@ -184,8 +212,7 @@ class _Sum:
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > 1:
-            keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-            counts = np.bincount(place, np.concatenate(self.counts).astype(np.float64), len(keys)).astype(np.uint64)
+            keys, counts = _summed(list(zip(self.keys, self.counts, strict=True)))
             self.keys, self.counts = [keys], [counts]
         return (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
@@ -336,8 +363,7 @@ def _score_block(row: dict, got: dict, n_ranges: int, depth: int, tokens: int, k
     data = zstandard.ZstdDecompressor().decompress(row["payload"])
     ends = np.cumsum(lengths)
     lines = [data[e - n:e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-    _, keys = _gram_places(lines, lengths, depth)
-    grams = distinct_keys(keys)
+    grams = unpack(row["grams"], np.uint64, True)
     values = np.zeros(len(grams), np.float32)
     to = _range_of(tree.unit_of(grams, depth), n_ranges)
     numbers: dict[bytes, int] = {}
@@ -356,7 +382,11 @@ def _score_block(row: dict, got: dict, n_ranges: int, depth: int, tokens: int, k
     counts[word_order] = sorted_counts
     base = np.log10((counts + 0.1) / (tokens + 0.1 * (kinds + 1)))
     known = counts > 0
-    at_bytes = np.add.reduceat(values[Places(grams).of(keys)].astype(np.float64), ends - lengths)
+    places, at_bytes = Places(grams), []
+    for first, last in _parts(lengths):
+        start = (ends - lengths)[first:last]
+        scores = values[places.of(_gram_places(lines[first:last], depth))].astype(np.float64)
+        at_bytes.extend(np.add.reduceat(scores, start - start[0]).tolist())
     for i, (one, held) in enumerate(zip(row["ids"], row["held"], strict=True)):
         own = np.array(texts[i])
         n, score = int(lengths[i]), float(at_bytes[i])
