@@ -46,3 +46,17 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftrank.llm.simhash_dedup import group_near_duplicates
 
     return group_near_duplicates(notes(spark, sf_dir)).withColumnRenamed("molecule_id", "doc_id")
+
+
+@query
+def op5_bpe_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftrank.llm.bpe import decode_tokens, encode_text
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode_text(notes(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return decode_tokens(encoded, ranks).select(
+        F.col("molecule_id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
