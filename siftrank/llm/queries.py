@@ -60,3 +60,15 @@ def op5_bpe_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("molecule_id").alias("doc_id"), F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftrank.llm.token_files import read_tokens, tokens_folder, write_tokens
+
+    folder = tokens_folder(spark)
+    files = write_tokens(notes(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, folder, files).select(
+        F.col("molecule_id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
