@@ -72,3 +72,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_tokens(notes(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_tokens(spark, folder, files).select(
         F.col("molecule_id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+@query
+def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.arrays import remainder_of_id
+    from siftrank.llm.language_id import identify_language, learn_languages
+
+    titles = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("molecule_id"), F.col("text").alias("patent_top_record_title"), "lang")
+    models = learn_languages(titles, learn_from=remainder_of_id("molecule_id", 4) != 2)
+    return identify_language(titles, models).withColumnRenamed("molecule_id", "doc_id")
