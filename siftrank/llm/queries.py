@@ -83,3 +83,29 @@ def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("molecule_id"), F.col("text").alias("patent_top_record_title"), "lang")
     models = learn_languages(titles, learn_from=remainder_of_id("molecule_id", 4) != 2)
     return identify_language(titles, models).withColumnRenamed("molecule_id", "doc_id")
+
+
+def learned_quality(spark: SparkSession, sf_dir: str, records: DataFrame):
+    """The quality model of ``labels.quality``, learned from the given records."""
+    from siftrank.llm.quality import learn_quality
+
+    marked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("molecule_id"), F.col("quality").alias("selected"))
+    return learn_quality(records, marked)
+
+
+@query
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.quality import score_quality
+
+    records = notes(spark, sf_dir)
+    return score_quality(records, learned_quality(spark, sf_dir, records)).withColumnRenamed("molecule_id", "doc_id")
+
+
+@query
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.toxicity import learn_severity, score_severity
+
+    reviews = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("molecule_id"), F.col("text").alias("review_note"))
+    marked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("molecule_id"), F.col("toxic").alias("severity"))
+    return score_severity(reviews, learn_severity(reviews, marked, graded=False)).withColumnRenamed("molecule_id", "doc_id")
