@@ -109,3 +109,28 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("molecule_id"), F.col("text").alias("review_note"))
     marked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("molecule_id"), F.col("toxic").alias("severity"))
     return score_severity(reviews, learn_severity(reviews, marked, graded=False)).withColumnRenamed("molecule_id", "doc_id")
+
+
+@query
+def op10_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.topk import top_matches
+
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("molecule_id"), F.col("embedding").alias("descriptor_vector"))
+    return top_matches(vectors, F.col("molecule_id") % 50 == 0).withColumnRenamed("molecule_id", "vec_id")
+
+
+ORACLES["op10_histogram_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s
+)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+"""
