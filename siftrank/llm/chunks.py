@@ -11,7 +11,7 @@ import numpy as np
 _RUNS = re.compile(r"\s\s|^\s|\s\Z")
 #: A blank between two other characters: the split pattern never matches across its left side.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-MOST_IDS = 6_000_000
+MOST_IDS = 1_000_000
 
 
 def chunks_of(text: str) -> list[str]:
