@@ -134,3 +134,13 @@ WITH v AS (
 )
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
+
+
+@query
+def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.decontaminate import find_leaks
+
+    items = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("known_compound_id"), F.col("text").alias("known_compound_name"))
+    return find_leaks(notes(spark, sf_dir), items).select(
+        F.col("molecule_id").alias("doc_id"), F.col("known_compound_id").alias("item_id"), "similarity", "first_word", "n_words")
