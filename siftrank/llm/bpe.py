@@ -20,6 +20,8 @@ from siftrank.llm.chunks import ChunkTable, text_batches
 
 #: Upper lengths of the matrices; longer pieces are merged one by one with a heap.
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128)
+#: Ids that are decoded at a time (more, if one record has more).
+PART_IDS = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -227,17 +229,19 @@ def decode_tokens(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids
         letters = np.frombuffer(b"".join(tokens), np.uint8)
         lengths = np.array([len(t) for t in tokens], np.int64)
         starts = np.cumsum(lengths) - lengths
-        for frame in frames:
-            column = frame.column(place)
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            counts = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
-                raise ValueError(f"token ids must lie in 0..{len(tokens) - 1}")
-            n = lengths[ids]
-            ends = np.cumsum(n)
-            data = letters[np.repeat(starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-            sums = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-            decoded = [data[a:b] for a, b in zip(sums[:-1], sums[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(decoded, pa.binary())], schema=schema)
+        for whole in frames:
+            counts = pa.compute.fill_null(pa.compute.list_value_length(whole.column(place)), 0).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.diff(np.cumsum(counts, dtype=np.int64) // PART_IDS)) + 1
+            for first, last in zip([0, *cut.tolist()], [*cut.tolist(), len(counts)], strict=True):
+                frame, n_ids = whole.slice(first, last - first), counts[first:last]
+                ids = frame.column(place).flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+                    raise ValueError(f"token ids must lie in 0..{len(tokens) - 1}")
+                n = lengths[ids]
+                ends = np.cumsum(n)
+                data = letters[np.repeat(starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+                sums = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_ids)])].tolist()
+                decoded = [data[a:b] for a, b in zip(sums[:-1], sums[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(decoded, pa.binary())], schema=schema)
 
     return rest.mapInArrow(decode, out)
