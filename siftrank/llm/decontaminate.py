@@ -175,56 +175,72 @@ def find_leaks(records: DataFrame, benchmark: DataFrame, id_col: str = "molecule
     How it scales: one pass over the records, nothing is shuffled. The index is broadcast in parts of at
     most ``INDEX_CHARACTERS`` characters of benchmark text (or one longer item), one pass for each.
     """
-    spark = records.sparkSession
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     out = T.StructType([
-        T.StructField(id_col, rows.schema["id"].dataType), T.StructField(item_col, items.schema["item"].dataType),
+        T.StructField(id_col, rows.schema["id"].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType),
         T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
     schema = arrow_schema(out)
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_parts = max(1, -(-size // INDEX_CHARACTERS))
     result = None
-    for part in range(n_parts):
-        chosen = items.where(F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part) if n_parts > 1 else items
-        index = spark.sparkContext.broadcast(BenchmarkIndex([(r.item, r.text) for r in chosen.toLocalIterator()]))
-        found = rows.mapInArrow(lambda frames, index=index: batches(schema, _search(frames, index.value), 1024), out)
+    for index in _indexes(benchmark, item_col, item_text_col):
+        found = rows.mapInArrow(lambda frames, index=index: batches(schema, _pairs(frames, index.value), 1024), out)
         result = found if result is None else result.unionByName(found)
     return result
 
 
-def _search(frames: Iterator[pa.RecordBatch], index: BenchmarkIndex) -> Iterator[tuple]:
+def without_leaks(records: DataFrame, benchmark: DataFrame, text_col: str = "evidence_summary_notes",
+                  item_col: str = "known_compound_id", item_text_col: str = "known_compound_name") -> DataFrame:
+    """The records without a leak in the sense of :func:`find_leaks`, with all their columns; nothing is shuffled."""
+    place = records.columns.index(text_col)
+
+    def clean(frames: Iterator[pa.RecordBatch], index: BenchmarkIndex) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for frame in frames:
+            leaking = {row for row, *_ in _search(frame.column(place).to_pylist(), index, hashes)}
+            yield frame.filter(pa.array([i not in leaking for i in range(frame.num_rows)], pa.bool_()))
+
+    for index in _indexes(benchmark, item_col, item_text_col):
+        records = records.mapInArrow(lambda frames, index=index: clean(frames, index.value), records.schema)
+    return records
+
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
+    """Broadcast indexes of the benchmark's parts."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_parts, context = max(1, -(-size // INDEX_CHARACTERS)), benchmark.sparkSession.sparkContext
+    return [context.broadcast(BenchmarkIndex([(r.item, r.text) for r in items.where(
+        F.pmod(F.xxhash64("text"), F.lit(n_parts)) == part).toLocalIterator()])) for part in range(n_parts)]
+
+
+def _pairs(frames: Iterator[pa.RecordBatch], index: BenchmarkIndex) -> Iterator[tuple]:
     hashes = WordHashes()
+    for frame in frames:
+        for row, *found in _search(frame.column(1).to_pylist(), index, hashes):
+            yield (frame.column(0)[row].as_py(), *found)
+
+
+def _search(texts: list[str | None], index: BenchmarkIndex, hashes: WordHashes) -> Iterator[tuple]:
+    """(place of the text, item, similarity, first word, words) of all leaks."""
     if not index.sized:
         return
     least = {s: min(x.need for x in index.sized if x.size == s) for s in index.shingles}
-    for frame in frames:
-        texts = frame.column(1).to_pylist()
-        for first, last in text_batches(texts, 1 << 20):
-            words = [words_of(t) for t in texts[first:last]]
-            counts = np.array([len(w) for w in words])
-            joined = hashes.of([w for ws in words for w in ws])
-            ends = np.cumsum(counts)
-            chosen, hits = np.zeros(len(words), bool), {}
-            for s in index.shingles:
-                hit = np.zeros(len(joined), bool)
-                found = index.hits(shingle_hashes(joined, s), s)
-                hit[:len(found)] = found
-                for back in range(1, s):  # shingles that reach into the next text
-                    at = ends - back
-                    hit[at[(at >= 0) & (counts >= back)]] = False
-                hits[s] = hit
-                upto = np.concatenate([[0], np.cumsum(hit)])
-                chosen |= upto[ends] - upto[ends - counts] >= least[s]
-            for i in np.flatnonzero(chosen).tolist():
-                a, b = int(ends[i] - counts[i]), int(ends[i])
-                own = {s: hits[s][a:max(b - s + 1, a)] for s in hits}
-                one = frame.column(0)[first + i].as_py()
-                for item, value, start, n in index.matches(joined[a:b], own):
-                    yield one, item, value, start, n
-
-
-def without_leaks(records: DataFrame, leaks: DataFrame, id_col: str = "molecule_id") -> DataFrame:
-    """The records that no leak names. A leak without a record id takes the records without one away."""
-    named = leaks.select(F.col(id_col).alias("_leaked")).distinct()
-    return records.join(named, records[id_col].eqNullSafe(named["_leaked"]), "left_anti")
+    for first, last in text_batches(texts, 1 << 20):
+        words = [words_of(t) for t in texts[first:last]]
+        counts = np.array([len(w) for w in words])
+        joined = hashes.of([w for ws in words for w in ws])
+        ends = np.cumsum(counts)
+        chosen, hits = np.zeros(len(words), bool), {}
+        for s in index.shingles:
+            hit = np.zeros(len(joined), bool)
+            found = index.hits(shingle_hashes(joined, s), s)
+            hit[:len(found)] = found
+            for back in range(1, s):  # shingles that reach into the next text
+                hit[(ends - back)[counts >= back]] = False
+            hits[s] = hit
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            chosen |= upto[ends] - upto[ends - counts] >= least[s]
+        for i in np.flatnonzero(chosen).tolist():
+            a, b = int(ends[i] - counts[i]), int(ends[i])
+            own = {s: hits[s][a:max(b - s + 1, a)] for s in hits}
+            for item, value, start, n in index.matches(joined[a:b], own):
+                yield first + i, item, value, start, n

@@ -208,3 +208,18 @@ def score_quality(records: DataFrame, model: AttentionModel, id_col: str = "mole
                     pa.array((scores >= 0.5).astype(np.int32)), pa.array(counts), pa.array(top.astype(np.int64))], schema=schema)
 
     return rows.mapInArrow(score, out)
+
+
+def keep_selected(records: DataFrame, model: AttentionModel, text_col: str = "evidence_summary_notes") -> DataFrame:
+    """The records that the model predicts as label 1, with all their columns; nothing is joined or shuffled."""
+    shared, place = records.sparkSession.sparkContext.broadcast(model), records.columns.index(text_col)
+
+    def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, fitted = PassageEncoder(), shared.value
+        for frame in frames:
+            texts = frame.column(place).to_pylist()
+            for first, last in text_batches(texts, 1 << 20):
+                good = fitted.score(*encoder.passages(texts[first:last])) >= 0.5
+                yield frame.slice(first, last - first).filter(pa.array(good))
+
+    return records.mapInArrow(keep, records.schema)

@@ -46,6 +46,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _fingerprints_of(texts: pa.Array) -> np.ndarray:
+    found = [fingerprint(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"))) for t in texts]
+    return np.array(found, np.uint64).view(np.int64)
+
+
 def fingerprints(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fingerprint) of every record; the fingerprint as a signed number."""
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -54,9 +59,7 @@ def fingerprints(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def compute(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            found = np.array([fingerprint(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")))
-                              for t in frame.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(found.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(_fingerprints_of(frame.column(1)))], schema=schema)
 
     return rows.mapInArrow(compute, out)
 
@@ -140,12 +143,36 @@ def group_near_duplicates(records: DataFrame, id_col: str = "molecule_id", text_
     each; see :func:`fingerprint_links` for crowded keys. Components are found in stored rounds.
     """
     rows = stored(fingerprints(records, id_col, text_col), "fingerprints")
-    # Two-step minimum: the map side folds all copies of a text before anything moves.
-    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    found = stored(_least_of_groups(rows.groupBy("fp").agg(F.min("id").alias("least"))), "groups")
+    return rows.join(found, "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _least_of_groups(distinct: DataFrame) -> DataFrame:
+    """(fp, least) with the smallest ``least`` of all fingerprints of a group, from one row for each fingerprint."""
+    distinct = stored(distinct, "distinct-fingerprints")
     groups = components(fingerprint_links(distinct.select("fp")))
     named = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = stored(named.join(smallest, "component").select("fp", "component_id"), "groups")
-    return rows.join(found, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = named.groupBy("component").agg(F.min("least").alias("least"))
+    return named.drop("least").join(smallest, "component").select("fp", "least")
+
+
+def keep_one_of_each(records: DataFrame, id_col: str = "molecule_id", text_col: str = "evidence_summary_notes") -> DataFrame:
+    """One record of each group of :func:`group_near_duplicates`, with all its columns: the one with the smallest id.
+
+    Of records that share that id one stays; a record without an id stays only where its group has no other.
+    """
+    row = T.StructType([*records.schema.fields, T.StructField("_fp", T.LongType())])
+    schema, place = arrow_schema(row), records.columns.index(text_col)
+
+    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(_fingerprints_of(frame.column(place)))], schema=schema)
+
+    # The row numbers depend on partitions, so they are stored before they are used.
+    rows = stored(records.mapInArrow(add, row).withColumn("_row", F.monotonically_increasing_id()), "rows-with-fingerprints")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
+    least = _least_of_groups(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("least")))
+    chosen = stored(least.select(F.col("least.row").alias("_row")).distinct(), "kept-rows")
+    return rows.join(chosen, "_row", "left_semi").select(*records.columns)

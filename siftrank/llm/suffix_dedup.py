@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -81,6 +82,23 @@ def remove_repeats(records: DataFrame, id_col: str = "molecule_id", text_col: st
         "block", "kind").mapInArrow(lambda frames: batches(schema, _cut_out(frames), 512), out)
 
 
+def without_repeats(records: DataFrame, text_col: str = "evidence_summary_notes", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The records with what :func:`remove_repeats` keeps of their texts, and all other columns as they were.
+
+    Bytes of a character that was cut at the border of a removed run go too; null texts stay null.
+    """
+    rest = [c for c in records.columns if c != text_col]
+    whole = F.struct(*rest, F.col(text_col).isNull().alias("_was_null"))
+    kept = remove_repeats(records.select(whole.alias("_record"), text_col), "_record", text_col, width, gram)
+
+    @F.pandas_udf(T.StringType())
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    found = kept.withColumn("_text", F.when(~F.col("_record._was_null"), decoded("kept")))
+    return found.select(*(F.col("_text").alias(c) if c == text_col else F.col("_record")[c].alias(c) for c in records.columns))
+
+
 # ---- anchors ----------------------------------------------------------------
 
 @lru_cache(maxsize=2)
