@@ -64,5 +64,5 @@ def utc_seconds() -> Column:
 
 
 def iso_text(ts: Column | str) -> Column:
-    """ISO text with the offset, for sessions that run in UTC."""
-    return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """ISO text in UTC with the offset, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(col(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -68,7 +68,10 @@ def complexity(
         F.when(score <= 3, "easy").when(score <= 6, "moderate").when(score > 6, "difficult")
         .otherwise("not_available")
     )
-    status = F.when(ok, "heuristic_synthetic_accessibility").otherwise("not_run_invalid_molecule")
+    status = (
+        F.when(ok, "heuristic_synthetic_accessibility")
+        .when(F.coalesce(col(valid), F.lit(False)), "not_run").otherwise("not_run_invalid_molecule")
+    )
     return F.struct(
         score.alias("sa_score"),
         category.alias("synthetic_feasibility_category"),

@@ -47,6 +47,6 @@ def latest_rows(runs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def merge_history(history: DataFrame, run: DataFrame) -> DataFrame:
-    """Replace the run with the same id and sort newest first."""
-    others = history.join(F.broadcast(run.select("job_id").limit(1)), "job_id", "left_anti")
+    """Replace the runs with the same ids and sort newest first."""
+    others = history.join(run.select("job_id").distinct(), "job_id", "left_anti")
     return others.unionByName(history_view(run)).orderBy(F.desc("completed_at"), "job_id")

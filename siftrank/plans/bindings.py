@@ -133,9 +133,13 @@ def day_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_run(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """One run per year: a customer's orders as one result row."""
-    o = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == year)
+# The two runs of all orders that comparisons use, and all of them as one run.
+EARLY, LATE, WHOLE = "o_orderdate < date '1993-01-01'", "o_orderdate >= date '1993-01-01'", "true"
+
+
+def customer_run(spark: SparkSession, sf_dir: str, span: str) -> DataFrame:
+    """A run of the orders in ``span``: a customer's orders as one result row."""
+    o = table(spark, sf_dir, "orders").where(span)
     k = F.col("o_custkey")
     per_priority = o.groupBy(k, "o_orderpriority").agg(
         F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"),
@@ -274,13 +278,13 @@ ann as (select job_id, trim(annotation_key) as annotation_key,
 }
 
 
-def run_cte(name: str, year: int) -> str:
+def run_cte(name: str, span: str) -> str:
     """SQL of :func:`customer_run` as CTEs ending in ``name``."""
     return rf"""
 {name}_p as (select o_custkey as k, o_orderpriority as pr, count(*) as n,
     sum(cast(o_totalprice as decimal(18,2))) as total, count(*) filter (o_orderstatus = 'F') as f,
     count(*) filter (o_orderstatus = 'O') as o, count(*) filter (o_orderstatus = 'P') as p
-  from orders where year(o_orderdate) = {year} group by 1, 2),
+  from orders where {span} group by 1, 2),
 {name}_g as (select k, cast(sum(total) as double) / sum(n) as mean_price, arg_min(pr, (-n, pr)) as cat,
     sum(f) as f, sum(o) as o, sum(p) as p, sum(n) as n from {name}_p group by k),
 {name} as (select k as rank_position,

@@ -221,5 +221,5 @@ def whole_run(spark, sf):
         documents=records(spark, sf),
     )
     options = RunOptions(public_lookup=True, bioactivity_lookup=True, document_lookup=True)
-    out = prioritise(described, reference, options, tables, length_model(), n_bits=256)
+    out = prioritise(described, reference, options, tables, length_model())
     return out.select(*V.RESULT_COLUMNS)

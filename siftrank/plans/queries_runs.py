@@ -27,7 +27,8 @@ DONE = RUNS + ", done as (select * from runs where status = 'completed')"
 HISTORY = """job_id, created_at, completed_at, status, input_file, output_file, row_count,
   pubchem_lookup_requested or coalesce(chembl_lookup_requested, false) or patent_lookup_requested as public_lookup_requested,
   pubchem_lookup_requested, coalesce(chembl_lookup_requested, false) as chembl_lookup_requested, patent_lookup_requested"""
-CMP = "with " + B.run_cte("a", 1995) + "," + B.run_cte("b", 1996)
+CMP = "with " + B.run_cte("a", B.EARLY) + "," + B.run_cte("b", B.LATE)
+ONE_RUN = "with " + B.run_cte("a", B.WHOLE)
 
 
 def _key(side: str) -> str:
@@ -55,7 +56,7 @@ CMP_NAMES = ["comparison_key", "molecule_id", "presence", "priority_score_a", "p
 
 
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return C.compare_runs(B.customer_run(spark, sf, 1995), B.customer_run(spark, sf, 1996))
+    return C.compare_runs(B.customer_run(spark, sf, B.EARLY), B.customer_run(spark, sf, B.LATE))
 
 
 # ---- runs -----------------------------------------------------------------------
@@ -204,14 +205,14 @@ def comparison_export(spark, sf):
     return out.select("presence", "molecule_id", "changed_evidence", "priority_score_change", "review_note_a")
 
 
-@query("comparison_key", CMP + "," + _key("a") + " select rank_position, key as comparison_key from ak")
+@query("comparison_key", ONE_RUN + "," + _key("a") + " select rank_position, key as comparison_key from ak")
 def comparison_key(spark, sf):
-    return C.with_comparison_key(B.customer_run(spark, sf, 1995)).select("rank_position", "comparison_key")
+    return C.with_comparison_key(B.customer_run(spark, sf, B.WHOLE)).select("rank_position", "comparison_key")
 
 
-@query("dedupe_first", CMP + "," + _key("a") + " select key as comparison_key, rank_position, priority_score from ad")
+@query("dedupe_first", ONE_RUN + "," + _key("a") + " select key as comparison_key, rank_position, priority_score from ad")
 def dedupe_first(spark, sf):
-    rows = C.with_comparison_key(B.customer_run(spark, sf, 1995)).select("comparison_key", "rank_position", "priority_score")
+    rows = C.with_comparison_key(B.customer_run(spark, sf, B.WHOLE)).select("comparison_key", "rank_position", "priority_score")
     return C.dedupe_first(rows, "comparison_key", "rank_position")
 
 
@@ -230,14 +231,14 @@ def differ(spark, sf):
 
 @query("key_union", CMP + " select distinct molecule_id from (select molecule_id from a union all select molecule_id from b)")
 def key_union(spark, sf):
-    return C.key_union(B.customer_run(spark, sf, 1995), B.customer_run(spark, sf, 1996), "molecule_id")
+    return C.key_union(B.customer_run(spark, sf, B.EARLY), B.customer_run(spark, sf, B.LATE), "molecule_id")
 
 
 @query("key_classes", CMP + """, s as (select molecule_id, bool_or(x = 1) as l, bool_or(x = 2) as r from
   (select molecule_id, 1 as x from a union all select molecule_id, 2 from b) group by 1)
 select molecule_id, case when l and r then 'both' when l then 'only_in_run_a' else 'only_in_run_b' end as presence from s""")
 def key_classes(spark, sf):
-    return C.key_classes(B.customer_run(spark, sf, 1995), B.customer_run(spark, sf, 1996), "molecule_id")
+    return C.key_classes(B.customer_run(spark, sf, B.EARLY), B.customer_run(spark, sf, B.LATE), "molecule_id")
 
 
 # ---- review ---------------------------------------------------------------------
@@ -290,7 +291,17 @@ def save_annotations(spark, sf):
     raw = B.annotations(spark, sf)
     W.save_annotations(spark, path, raw)
     W.save_annotations(spark, path, raw.where("job_id = 'job1' and review_status = 'SELECTED'"))
-    return spark.read.parquet(path).select(F.col("job_id").cast("string").alias("job_id"), "annotation_key", "review_status")
+    return A.stored_annotations(spark, path).select("job_id", "annotation_key", "review_status")
+
+
+@query("clear_annotations", B.with_sql("ann") + """ select job_id, annotation_key, review_status, review_note from ann where job_id <> 'job1'""")
+def clear_annotations(spark, sf):
+    """An empty set clears one job's stored annotations and leaves other jobs alone."""
+    path = B.scratch(spark, "annotations")
+    raw = B.annotations(spark, sf)
+    W.save_annotations(spark, path, raw)
+    W.save_annotations(spark, path, raw.limit(0), "job1")
+    return A.stored_annotations(spark, path)
 
 
 @query("read_annotations", B.with_sql("ann") + " select job_id, annotation_key, review_status, review_note from ann")
@@ -308,14 +319,17 @@ def read_annotations(spark, sf):
   from ann where substring(annotation_key, 2)::bigint % 3 = 0)
 select * from ch union all select * from ann where substring(annotation_key, 2)::bigint % 3 <> 0""")
 def merge_annotations(spark, sf):
-    """Changed keys replace, the last change of a key wins."""
+    """Changed keys replace stored ones, the last change of a key wins."""
     raw = B.annotations(spark, sf)
+    path = B.scratch(spark, "annotations")
+    W.save_annotations(spark, path, raw)
     number = F.substring(F.trim("annotation_key"), 2, 20).cast("bigint")
     base = raw.where(number % 3 == 0).select("job_id", "annotation_key", number.alias("k"))
     first = base.select("job_id", "annotation_key", F.lit("rejected").alias("review_status"), F.lit("old").alias("review_note"), F.lit(1).alias("change_no"))
     last = base.select("job_id", "annotation_key", F.when(F.col("k") % 6 == 0, "deprioritized").otherwise("selected").alias("review_status"),
                        F.lit(" changed").alias("review_note"), F.lit(2).alias("change_no"))
-    return W.merged_annotations(A.clean_annotations(raw), first.unionByName(last))
+    W.merge_annotations(spark, path, first.unionByName(last))
+    return A.stored_annotations(spark, path)
 
 
 @query("annotation_key", REVIEWED + " select rank_position, review_annotation_key from rev")
@@ -349,23 +363,28 @@ def validate_columns(spark, sf):
     return p.agg(F.count("*").alias("rows")).withColumn("message", F.lit(message))
 
 
-@query("write_ranked", B.with_sql("cand_p") + """ select molecule_id, priority_score, row_number() over (order by priority_score desc, ord) - 1 as rank_position, 83 as n_columns from scored_p where ord % 2 = 1""")
+@query("write_ranked", B.with_sql("cand_p") + """ select 'run' || (ord % 2) as job_id, molecule_id, priority_score,
+  row_number() over (partition by ord % 2 order by priority_score desc, ord) - 1 as rank_position, 83 as n_columns from scored_p""")
 def write_ranked(spark, sf):
-    """Two runs stored by run id, one of them empty; one is read back."""
+    """Runs stored by run id, each in place of its earlier rows: one replaced by others, one by none."""
     path = B.scratch(spark, "ranked")
     rows = scored_parts(spark, sf)
+    W.write_ranked(rank_positions(rows.limit(0)), path, "empty")
+    W.write_ranked(rank_positions(rows), path, "run1")
+    W.write_ranked(rank_positions(rows), path, "cleared")
+    W.write_ranked(rank_positions(rows.limit(0)), path, "cleared")
     for i in (0, 1):
         W.write_ranked(rank_positions(rows.where(F.col("ord") % 2 == i)), path, f"run{i}")
-    W.write_ranked(rank_positions(rows.limit(0)), path, "empty")
-    stored = spark.read.parquet(path).where("job_id = 'run1'")
+    stored = A.stored_results(spark, path)
     width = len(stored.columns) - 1
-    return stored.select("molecule_id", "priority_score", "rank_position", F.lit(width).alias("n_columns"))
+    return stored.select("job_id", "molecule_id", "priority_score", "rank_position", F.lit(width).alias("n_columns"))
 
 
-@query("read_result", B.with_sql("cand_p") + " select molecule_id, priority_score from scored_p where ord % 2 = 0")
+@query("read_result", B.with_sql("cand_p") + " select molecule_id, priority_score from scored_p")
 def read_result(spark, sf):
     path = B.scratch(spark, "result")
-    W.write_ranked(rank_positions(scored_parts(spark, sf).where(F.col("ord") % 2 == 0)), path, "r0")
+    W.write_ranked(rank_positions(scored_parts(spark, sf).where(F.col("ord") % 2 == 0)), path, "r1")
+    W.write_ranked(rank_positions(scored_parts(spark, sf)), path, "r0")
     return A.read_result(spark, path, "r0").select("molecule_id", "priority_score")
 
 

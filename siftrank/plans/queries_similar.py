@@ -146,5 +146,5 @@ def projection(spark, sf):
 def diversity(spark, sf):
     """Clusters, neighbours and projection of all ranked documents, invalid ones included."""
     rows = rank_positions(B.with_features(B.validated(B.document_rows(spark, sf))))
-    out = diversity_analysis(rows.drop("source"), n_bits=256)
+    out = diversity_analysis(rows.drop("source"))
     return out.select("molecule_id", *V.DIVERSITY_COLUMNS, *V.SPACE_COLUMNS)

@@ -41,6 +41,9 @@ def struct_of(names: list[str]) -> T.StructType:
 
 
 RESULT_SCHEMA = struct_of(list(V.RESULT_COLUMNS))
+STORED_RESULT = T.StructType(
+    RESULT_SCHEMA.fields + [T.StructField("rank_position", T.LongType()), T.StructField("job_id", T.StringType())]
+)
 CANDIDATE_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in V.REQUIRED_COLUMNS + V.OPTIONAL_COLUMNS]
 )

@@ -37,8 +37,8 @@ def get_session(app: str = "siftrank", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (single-machine tests) a fresh local
-    folder is made and set.
+    Only where none is named and the master is local (single-machine tests) a
+    fresh local folder is made and set; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -48,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fresh = tempfile.mkdtemp(prefix="siftrank-shared-", dir=os.environ.get("TMPDIR"))
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh

@@ -13,7 +13,7 @@ from siftrank.functions.numbers import col
 from siftrank.functions.text import clean_annotation, filled, strip
 from siftrank.operators.identity import keyed_reference
 from siftrank.operators.lookups import CACHE_STATUS, INVALID_ROW, LOOKUP_STATUS, fixed_result
-from siftrank.schemas import ANNOTATION_MAP, LOOKUP_RESULTS, RESULT_SCHEMA, RUN_SCHEMA
+from siftrank.schemas import ANNOTATION_MAP, ANNOTATION_SCHEMA, LOOKUP_RESULTS, RESULT_SCHEMA, RUN_SCHEMA, STORED_RESULT
 
 
 def read_candidates(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -22,9 +22,11 @@ def read_candidates(spark: SparkSession, path: str, multi_line: bool = True) ->
     Quoted line breaks are legal with ``multi_line`` (one task per file; give
     the input as many files, or switch it off for files without them).  Extra
     columns are dropped, ``docking_score`` stays absent when the input has none.
+    All files have to name the same columns in the same order; the read fails
+    on a file whose header differs instead of taking its cells by position.
     """
     raw = (
-        spark.read.option("header", True).option("multiLine", multi_line)
+        spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').csv(path)
     )
     names = [c for c in V.REQUIRED_COLUMNS + V.OPTIONAL_COLUMNS if c in raw.columns]
@@ -39,6 +41,12 @@ def validate_columns(df: DataFrame, required: tuple[str, ...] = V.REQUIRED_COLUM
         raise ValueError(f"CSV is missing required columns: {', '.join(missing)}.")
 
 
+def candidate_count(df: DataFrame, required: tuple[str, ...] = V.REQUIRED_COLUMNS) -> int:
+    """Number of rows of a valid file; raises like :func:`validate_columns`."""
+    validate_columns(df, required)
+    return df.count()
+
+
 def with_ordinals(files: DataFrame, names: list[str], ordinal: str = "ord") -> DataFrame:
     """Number the rows of a file scan from 1, by path, split and place inside the split.
 
@@ -70,12 +78,21 @@ def read_result(spark: SparkSession, path: str, job_id: str, runs: DataFrame | N
             raise LookupError("Job not found.")
         if state[0]["status"] == "failed":
             return spark.createDataFrame([], RESULT_SCHEMA)
-    stored = spark.read.parquet(path)
-    return stored.where(F.col("job_id") == job_id).orderBy("rank_position").select(
-        [c for c in stored.columns if c not in ("job_id", "rank_position")]
+    return stored_results(spark, path).where(F.col("job_id") == job_id).orderBy("rank_position").select(
+        *V.RESULT_COLUMNS
     )
 
 
+def stored_results(spark: SparkSession, path: str) -> DataFrame:
+    """All stored rows of all runs; read with the declared schema, so an empty run is no error."""
+    return spark.read.schema(STORED_RESULT).parquet(path)
+
+
+def stored_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """All stored annotation sets; cleared ones have no rows."""
+    return spark.read.schema(ANNOTATION_SCHEMA).parquet(path).select(*ANNOTATION_SCHEMA.names)
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """One row per well-formed run file; malformed files and non-objects are skipped."""
     schema = T.StructType(RUN_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from siftrank import vocab as V
 from siftrank.functions.numbers import utc_seconds
 from siftrank.functions.text import csv_cell, filled, first_filled, plain_text, strip
-from siftrank.schemas import column_type
-from siftrank.sources.readers import clean_annotations
+from siftrank.schemas import STORED_RESULT, column_type
+from siftrank.session import durable
+from siftrank.sources.readers import clean_annotations, stored_annotations
 
 
 def result_columns(df: DataFrame, names: list[str] | tuple[str, ...]) -> DataFrame:
@@ -20,20 +21,28 @@ def result_columns(df: DataFrame, names: list[str] | tuple[str, ...]) -> DataFra
 
 
 def write_ranked(df: DataFrame, path: str, job_id: str) -> None:
-    """Store one run's rows; other runs stay, and an empty run keeps the full schema.
+    """Store one run's rows in place of its earlier ones; other runs stay.
 
     Rows keep ``rank_position``, so their order survives without sorting files.
+    The run's own folder is overwritten, so an empty run replaces its rows too
+    and leaves a file with the full schema.
     """
-    rows = result_columns(df, [*V.RESULT_COLUMNS, "rank_position"]).withColumn("job_id", F.lit(job_id))
-    (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("job_id").parquet(path)
-    )
+    rows = df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in STORED_RESULT.fields if f.name != "job_id"
+    ])
+    rows.write.mode("overwrite").parquet(f"{path}/{partition_folder(df.sparkSession, 'job_id', job_id)}")
+
+
+def partition_folder(spark: SparkSession, column: str, value: str) -> str:
+    """Folder name of one partition value, escaped as the engine's readers expect it."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return escape(column, value)
 
 
 def upsert_run(states: DataFrame, path: str) -> None:
     """Append run states; readers take the latest per run (:func:`latest_runs`)."""
-    stamped = states if "updated_at" in states.columns else states.withColumn("updated_at", utc_seconds())
+    stamped = states if "updated_at" in states.columns else states.withColumn("updated_at", F.current_timestamp())
     stamped.write.mode("append").parquet(path)
 
 
@@ -42,12 +51,20 @@ def append_run_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("append").parquet(path)
 
 
-def save_annotations(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Replace the whole annotation set of every job in ``rows``."""
-    (
-        clean_annotations(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("job_id").parquet(path)
-    )
+def save_annotations(spark: SparkSession, path: str, rows: DataFrame, job_id: str | None = None) -> None:
+    """Replace the whole annotation set of every job in ``rows``.
+
+    With ``job_id`` only that job's set is replaced, by its rows; none clears it.
+    """
+    if job_id is not None:
+        own = clean_annotations(rows.where(F.col("job_id") == job_id)).drop("job_id")
+        own.write.mode("overwrite").parquet(f"{path}/{partition_folder(spark, 'job_id', job_id)}")
+        return
+    _replace_sets(clean_annotations(rows), path)
+
+
+def _replace_sets(cleaned: DataFrame, path: str) -> None:
+    cleaned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
 
 
 def merged_annotations(old: DataFrame, changes: DataFrame) -> DataFrame:
@@ -64,6 +81,16 @@ def merged_annotations(old: DataFrame, changes: DataFrame) -> DataFrame:
     return old.join(last, keys, "left_anti").unionByName(last)
 
 
+def merge_annotations(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """Apply ``changes`` (see :func:`merged_annotations`) to the stored sets; sets of other jobs are not touched.
+
+    The merged sets are made durable before the folders that they were read from are overwritten.
+    """
+    touched = changes.select("job_id").distinct()
+    old = stored_annotations(spark, path).join(touched, "job_id", "left_semi")
+    _replace_sets(durable(merged_annotations(old, changes)), path)
+
+
 def upsert_lookup_cache(results: DataFrame, source: str, path: str) -> None:
     """Append fresh results ``(identity_key, result)``; failures are cached too."""
     (

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftrank.functions.numbers import iso_text, utc_seconds
 from siftrank.options import RunOptions
 from siftrank.schemas import RUN_SCHEMA
-from siftrank.sources.readers import read_candidates
+from siftrank.sources.readers import read_candidates, read_result
 from siftrank.sources.writers import upsert_run, write_ranked
 
 
@@ -69,10 +69,10 @@ def one_file(
     _state(spark, tables, job, path, "running", options, created)
     try:
         write_ranked(run(read_candidates(spark, path)), tables.results, job)
-        stored = spark.read.parquet(tables.results).where(F.col("job_id") == job)
+        stored = read_result(spark, tables.results, job)
         _state(spark, tables, job, path, "completed", options, created, rows=stored.count())
     except Exception as exc:  # noqa: BLE001 - the failure belongs to this run only
-        _state(spark, tables, job, path, "failed", options, created, error=str(exc).splitlines()[0][:500])
+        _state(spark, tables, job, path, "failed", options, created, error=str(exc) or type(exc).__name__)
 
 
 def _state(spark, tables, job, path, status, options, created, rows=0, error=""):

@@ -102,9 +102,96 @@ def test_query_equals_sql(spark, name):
     assert difference(got, sql_rows(connect(SF), entry.oracle_sql()[name])) is None
 
 
-def test_every_query_is_registered_with_whole_inputs():
+def test_queries_without_sql_are_the_iterative_ones():
     import __spark_entry__ as entry
-
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "butina_cluster", "project_2d", "diversity_analysis", "prioritise_documents"}
+    from siftrank.plans.catalog import ORACLES, QUERIES
+
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == {"butina_cluster", "project_2d", "diversity_analysis", "prioritise_documents"}
+
+
+def test_one_failing_function_leaves_whole_error(spark, tmp_path):
+    from siftrank.streaming.incremental import RunTables, one_file
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("molecule_id,smiles\nA,CC\n")
+    (folder / "empty.csv").write_text("molecule_id,smiles\n")
+    tables = RunTables(str(tmp_path / "results"), str(tmp_path / "runs"))
+    long = "line one\n" + "x" * 2000
+
+    def silent(_):
+        raise ValueError
+
+    def loud(_):
+        raise ValueError(long)
+
+    one_file(spark, f"file:{folder}/a.csv", tables, silent)
+    assert [r.error_message for r in A.latest_runs(spark.read.parquet(tables.runs)).collect()] == ["ValueError"]
+    one_file(spark, f"file:{folder}/a.csv", tables, loud)
+    assert [r.error_message for r in A.latest_runs(spark.read.parquet(tables.runs)).collect()] == [long]
+    one_file(spark, f"file:{folder}/empty.csv", tables, lambda rows: prioritise(rows, diversity=False))
+    states = {r.input_file[-9:]: (r.status, r.row_count) for r in A.latest_runs(spark.read.parquet(tables.runs)).collect()}
+    assert states["empty.csv"] == ("completed", 0)
+
+
+def test_differing_headers_are_reported(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("molecule_id,smiles\nA,CC\n")
+    (tmp_path / "b.csv").write_text("smiles,molecule_id\nCCC,B\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        A.read_candidates(spark, f"{tmp_path}/*.csv").collect()
+    assert A.candidate_count(A.read_candidates(spark, f"{tmp_path}/a.csv")) == 1
+
+
+def test_two_updated_runs_replace_both(spark):
+    from siftrank import vocab as V
+    from siftrank.operators.history import history_view, merge_history
+    from siftrank.schemas import RUN_SCHEMA
+
+    def run(job, at):
+        row = {f.name: None for f in RUN_SCHEMA.fields} | {"job_id": job, "status": "completed", "completed_at": at}
+        return tuple(row[f.name] for f in RUN_SCHEMA.fields)
+
+    old = spark.createDataFrame([run("a", "1"), run("b", "2"), run("c", "3")], RUN_SCHEMA)
+    new = spark.createDataFrame([run("a", "8"), run("b", "9")], RUN_SCHEMA)
+    got = [(r.job_id, r.completed_at) for r in merge_history(history_view(old), new).collect()]
+    assert got == [("b", "9"), ("a", "8"), ("c", "3")] and V.HISTORY_COLUMNS
+
+
+def test_local_time_zone_gives_utc_text(spark):
+    from siftrank.functions.numbers import iso_text
+
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        text = spark.sql("select timestamp_seconds(0) as t").select(iso_text("t")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert text == "1970-01-01T00:00:00+00:00"
+
+
+def test_stored_result_can_be_scored_again(spark):
+    columns = "ord long, molecule_id string, smiles string, mw double, tpsa double, hba int, hbd int, rotatable_bonds int, qed double"
+    first = spark.createDataFrame([(1, "A", "CC", 300.0, 50.0, 2, 1, 3, .7)], columns)
+    with_logp = first.selectExpr("*", "2.0D as logp")
+    scored = prioritise(with_logp, diversity=False).first()
+    again = first.selectExpr("*", f"{scored.lipinski_violations} as lipinski_violations", "true as lipinski_pass")
+    repeated = prioritise(again, diversity=False).first()
+    assert (repeated.priority_score, repeated.lipinski_violations, repeated.lipinski_pass) == (
+        scored.priority_score, scored.lipinski_violations, True)
+    assert scored.synthetic_feasibility_status == "not_run"
+
+
+def test_long_chain_of_rising_priorities_settles(spark):
+    from siftrank.operators.clustering import sphere_exclusion
+
+    n = 1000
+    points = spark.createDataFrame([(i, 1, i) for i in range(n)], "set_id long, members long, position long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    owner = {r.set_id: r.centroid for r in sphere_exclusion(points, edges).collect()}
+    # Both ends have one neighbour, all others two: the chain is taken from its last inner point down.
+    taken, free = {}, set(range(n))
+    for p in sorted(free, key=lambda i: (1 if i in (0, n - 1) else 2, i), reverse=True):
+        if p in free:
+            taken |= {q: p for q in (p - 1, p, p + 1) if q in free}
+            free -= {p - 1, p, p + 1}
+    assert {p: o for p, o in owner.items() if o == p} == {p: o for p, o in taken.items() if o == p}
