@@ -89,15 +89,18 @@ class OrdinalModel:
 
 def fit_ordinal(texts: list[str | None], grades: list[int], importance: list[float], n_grades: int) -> OrdinalModel:
     """Adam with shrinkage on the ordinal likelihood; thresholds are a first one plus positive steps."""
-    docs = [feature_counts(words_of(t)) for t in texts]
-    held = Counter(w for d in docs for w in d)
-    inside = Counter(w for d, g in zip(docs, grades, strict=True) if g > 0 for w in d)
+    # Two passes, so that only counts of features and then the chosen ones are held.
+    held, inside = Counter(), Counter()
+    for text, grade in zip(texts, grades, strict=True):
+        found = feature_counts(words_of(text)).keys()
+        held.update(found)
+        if grade > 0:
+            inside.update(found)
     n_in, n_all = sum(g > 0 for g in grades), len(grades)
     telling = sorted(w for w, n in held.items() if n >= LEAST_RECORDS and _association(inside[w], n, n_in, n_all) >= LEAST_ASSOCIATION)
     vocabulary = {w: i for i, w in enumerate(telling)}
-    row = np.array([i for i, d in enumerate(docs) for w in d if w in vocabulary], np.int64)
-    col = np.array([vocabulary[w] for d in docs for w in d if w in vocabulary], np.int64)
-    count = np.array([c for d in docs for w, c in d.items() if w in vocabulary], float)
+    entries = [(i, vocabulary[w], c) for i, t in enumerate(texts) for w, c in feature_counts(words_of(t)).items() if w in vocabulary]
+    row, col, count = np.array(entries, np.int64).reshape(-1, 3).T
     value = OrdinalModel.value(count)
     y, weight = np.array(grades, np.int64), np.array(importance, float)
     weight = weight / weight.sum() if len(weight) else weight
@@ -136,13 +139,12 @@ def fit_ordinal(texts: list[str | None], grades: list[int], importance: list[flo
 
 def marker_grades(texts: list[str | None], marks: list[int]) -> list[int]:
     """Grades 0, 1, 2 from marks 0 and 1: a marked text is graded 2 if it has more marker words than half of them."""
-    words = [Counter(words_of(t)) for t in texts]
     inside, outside = Counter(), Counter()
-    for d, m in zip(words, marks, strict=True):
-        (inside if m else outside).update(feature_counts(list(d)).keys())
+    for t, m in zip(texts, marks, strict=True):
+        (inside if m else outside).update({f for w in set(words_of(t)) for f in features_of(w)})
     n_in, n_out = max(sum(marks), 1), max(len(marks) - sum(marks), 1)
     markers = {w for w, n in inside.items() if n >= LEAST_RECORDS and n / n_in >= MARKER_LIFT * (outside[w] + 1) / (n_out + 1)}
-    found = [sum(1 for w in d if not markers.isdisjoint(features_of(w))) for d in words]
+    found = [sum(1 for w in set(words_of(t)) if not markers.isdisjoint(features_of(w))) for t in texts]
     middle = float(np.median([x for x, m in zip(found, marks, strict=True) if m])) if any(marks) else 0.0
     return [0 if not m else 2 if x > middle else 1 for x, m in zip(found, marks, strict=True)]
 
