@@ -7,16 +7,14 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Where this matches, a blank may belong to a run of white space.
-_RUNS = re.compile(r"\s\s|^\s|\s\Z")
 #: A blank between two other characters: the split pattern never matches across its left side.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 MOST_IDS = 1_000_000
 
 
-def chunks_of(text: str) -> list[str]:
-    """Cut a text before every single blank; all chunks but the first have lost that blank."""
-    return _SAFE.split(text) if _RUNS.search(text) else text.split(" ")
+def _in_a_run(chunk: str) -> bool:
+    """Whether the blank beside such a chunk of a plain split may belong to a run of white space."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
 class ChunkTable:
@@ -31,6 +29,8 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
+        self.checked: set[str] = set()
+        self.in_a_run: set[str] = {""}
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self.ids, self.size = np.zeros(1 << 16, np.uint32), 0
@@ -51,11 +51,22 @@ class ChunkTable:
         self.chunks += len(texts)
         self.size += total
 
+    def _chunks(self, texts: list[str | None]) -> list[list[str]]:
+        """Cut texts before every single blank; all chunks but the first have lost that blank."""
+        parts = [t.split(" ") if t else [] for t in texts]
+        seen: set[str] = set()
+        for p in parts:
+            seen.update(p)
+        new = [c for c in seen if c not in self.checked]
+        self.checked.update(new)
+        self.in_a_run.update(c for c in new if _in_a_run(c))
+        return [_SAFE.split(t) if t and not self.in_a_run.isdisjoint(p) else p for t, p in zip(texts, parts, strict=True)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
         if self.size > MOST_IDS:
             self._clear()
-        parts = [chunks_of(t) if t else [] for t in texts]
+        parts = self._chunks(texts)
         new_first = dict.fromkeys(p[0] for p in parts if p and p[0] not in self.first)
         seen: set[str] = set()
         for p in parts:

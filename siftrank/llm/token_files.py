@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ SAMPLE_RECORDS = 2_000
 #: A file is closed once its frames hold so many bytes.
 FILE_BYTES = 8 << 20
 LEVEL = 3
+#: The split pattern of byte-level vocabularies, a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _HEAD = struct.Struct("<8s32sQQ")  # magic, dictionary hash, records, bytes of the id column
 
 
@@ -86,18 +91,48 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 
 # ---- Spark steps ------------------------------------------------------------
 
+#: Chunks of these characters alone are cut alike by every version of the split pattern.
+_PLAIN = re.compile("[ -~\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff\\n]*")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(serialised: str) -> ChunkTable:
+    """Ids by the tokenizers library.
+
+    Where the vocabulary is a byte-level BPE with the usual split pattern, plain chunks are cut here and
+    their distinct pieces go straight to the library's model; all else goes through its whole pipeline.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(serialised)
+    model, letters = tokenizer.model, {b: c for b, c in zip(range(256), _byte_letters(), strict=True)}
+    described = json.loads(serialised)
+    before = described.get("pre_tokenizer") or {}
+    direct = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+              and not described.get("normalizer") and not described.get("post_processor"))
+    special = [t["content"] for t in described.get("added_tokens", [])]
+    split = regex.compile(SPLIT)
 
     def encode_many(chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        plain = [direct and _PLAIN.fullmatch(c) is not None and not any(s in c for s in special) for c in chunks]
+        cut = [split.findall(c) if p else [] for c, p in zip(chunks, plain, strict=True)]
+        pieces = {x: np.array([t.id for t in model.tokenize(x.encode().decode("latin-1").translate(letters))], np.uint32)
+                  for x in dict.fromkeys(x for xs in cut for x in xs)}
+        whole = iter(tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False))
+        none = np.zeros(0, np.uint32)
+        return [(pieces[xs[0]] if len(xs) == 1 else np.concatenate([pieces[x] for x in xs]) if xs else none) if p
+                else np.array(next(whole).ids, np.uint32) for xs, p in zip(cut, plain, strict=True)]
 
     return ChunkTable(encode_many)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 def _encode(frames: Iterator[pa.RecordBatch], serialised: str, end_id: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Ids of the texts (second column) of each part of a batch, with the end id, and its first column."""
     import os

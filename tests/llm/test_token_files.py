@@ -19,7 +19,7 @@ def test_round_trip_in_order(spark, monkeypatch):
     words = ["".join(rng.choices("abcdeté", k=rng.randint(1, 9))) for _ in range(200)]
     rows = [(i * 7 % 101, " ".join(rng.choices(words, k=rng.randint(1, 60))), "x") for i in range(101)]
     rows += [(500, None, "x"), (501, "", "x"), (501, "", "x"), (502, " a  b\n\n c ", "x"), (503, "x<|endoftext|>y", "x"),
-             (504, "long " * 20000, "x"), (None, "no id", "x"), (None, "no id", "x")]
+             (504, "long " * 20000, "x"), (505, "it's Don't\u2019 \u00e9t\u00e9\u00d7 1a \u6f22 \u00a0x \t y\n z\u2028 .5,\n\nA  ", "x"), (None, "no id", "x"), (None, "no id", "x")]
     tokenizer = Tokenizer.from_file(PATH)
     expected = {}
     for i, t, _ in rows:
@@ -38,6 +38,18 @@ def test_round_trip_in_order(spark, monkeypatch):
     assert not any(expected.values())
 
 
+def test_chunks_match_the_library_on_random_texts():
+    rng = random.Random(3)
+    letters = "abcDE \u00e9\u00df\u00d7'st.,!?<|>0123 \n\t\u00a0\u6f22\U0001f642 \u3000"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)] + ["x <|endoftext|> y", "a<|endoftext|>b", " ", "  ", "\n", "a \n", "\n a"]
+    tokenizer = Tokenizer.from_file(PATH)
+    table = tf._tokenizer(open(PATH, encoding="utf-8").read())
+    for start in range(0, len(texts), 500):
+        some = texts[start:start + 500]
+        ids, counts = table.encode(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_single_record_and_wrong_dictionary():
     import pyarrow as pa
 
