@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from siftrank.session import durable
 
 HOT_ROWS = 1_000_000
+#: The most keys that are ever broadcast: heavier ones than a share of 1 / MOST_HOT of all rows.
+MOST_HOT = 10_000
 SPREAD = 997
 
 
@@ -20,14 +22,16 @@ def attach_per_key(
 
     ``per_key[weight]`` is the number of rows of the key.  The per-key table is
     stored first (it is read more than once) and checked for keys heavier than
-    ``hot_rows``; without any this is a plain join.  Otherwise the heavy keys,
-    at most ``total / hot_rows`` many, are broadcast, the other keys are joined
-    by shuffle, and rows already served by the broadcast are spread over many
-    partitions there.
+    ``hot_rows`` and than ``1 / MOST_HOT`` of all rows; without any this is a
+    plain join.  Otherwise the heavy keys, fewer than ``MOST_HOT`` whatever the
+    data, are broadcast, the other keys are joined by shuffle, and rows already
+    served by the broadcast are spread over many partitions there.
     """
     per_key = durable(per_key)
-    heavy = F.col(weight) > hot_rows
-    if per_key.where(heavy).isEmpty():
+    top, total = per_key.agg(F.coalesce(F.max(weight), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    limit = max(hot_rows, total // MOST_HOT)
+    heavy = F.col(weight) > limit
+    if top <= limit:
         return rows.join(per_key, keys, how).select(
             *rows.columns, *[c for c in per_key.columns if c not in keys]
         )
@@ -52,6 +56,13 @@ def attach_per_key(
     return joined.select(*[F.col(c) for c in rows.columns], *picked)
 
 
+def attach_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """:func:`attach_per_key` for a table without weights: the rows of its keys are counted first."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    joined = attach_per_key(rows, per_key.join(counts, keys), keys, "_rows", how)
+    return joined.drop("_rows")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: Column, columns: list[str] | None = None) -> DataFrame:
     """First row per key by ``order``; aggregated map-side, so hot keys shrink before the shuffle."""
     names = columns or [c for c in df.columns if c not in keys]

@@ -12,7 +12,7 @@ from siftrank import vocab as V
 from siftrank.functions.numbers import round_dp
 from siftrank.functions.payloads import document_url, preferred_name
 from siftrank.functions.text import filled, first_filled, strip
-from siftrank.operators.joins import attach_per_key
+from siftrank.operators.joins import attach_counted, attach_per_key
 from siftrank.operators.similarity import collapse_sets, similar_between
 from siftrank.options import RunOptions
 from siftrank.schemas import LOOKUP_RESULTS, column_type
@@ -216,7 +216,7 @@ def _most_similar(keys: DataFrame, molecules: DataFrame, threshold: float) -> Da
         F.col("set_id").alias("b"), "molecule_id", "pref_name"
     )
     sizes = left.sets.select(F.col("set_id"), "members")
-    picked = best.join(named, "b").select(F.col("a").alias("set_id"), "molecule_id", "pref_name", "similarity")
+    picked = attach_counted(best, named, ["b"], "inner").select(F.col("a").alias("set_id"), "molecule_id", "pref_name", "similarity")
     per_set = sizes.join(picked, "set_id")
     return attach_per_key(left.members, per_set, ["set_id"], "members", how="inner").select(
         "identity_key", "molecule_id", "pref_name", "similarity"
@@ -238,10 +238,13 @@ def lookup_documents(
     per_chemical = documents.groupBy("chemical_id").agg(
         F.count("*").alias("hits"), F.min_by(F.struct("doc_id", "title"), "pos").alias("top")
     )
+    # Keys without a chemical, the common case, get many different join keys.
+    nowhere = F.concat(F.lit("\u0000"), F.pmod(F.hash("identity_key"), F.lit(997)).cast("string"))
     joined = (
         keys.join(first, "identity_key", "left")
         .withColumn("chemical_id", filled("c.id"))
-        .join(per_chemical, "chemical_id", "left")
+        .withColumn("_chemical", F.coalesce("chemical_id", nowhere))
+        .join(per_chemical.withColumnRenamed("chemical_id", "_chemical"), "_chemical", "left")
     )
     has_id = F.col("chemical_id").isNotNull()
     hits = F.coalesce("hits", F.lit(0))

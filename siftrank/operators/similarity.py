@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 from siftrank.functions.numbers import round_dp
 from siftrank.functions.sets import ratio, tanimoto
-from siftrank.operators.joins import attach_per_key
-from siftrank.session import durable
+from siftrank.operators.joins import attach_counted, attach_per_key
+from siftrank.session import columnar, durable
 
 HOT_TOKEN = 2_000  # sets holding a token before it needs a second token as key
 BLOCK = 4_000  # sets of one key that one task compares among themselves
@@ -42,7 +42,7 @@ def collapse_sets(df: DataFrame, ordinal: str, features: str) -> DistinctSets:
     signature = F.md5(F.array_join(F.sort_array(F.col("_features")), ",").cast("binary"))
     # Stored before it is filtered: a filter on a computed array would be pushed
     # below and make Spark compute the features of every text twice.
-    stored = durable(df.withColumn("_features", F.col(features)).drop(features).withColumn("_sig", signature))
+    stored = columnar(df.withColumn("_features", F.col(features)).drop(features).withColumn("_sig", signature))
     rows = stored.withColumnRenamed("_features", features).where(F.size(features) > 0)
     per_sig = rows.groupBy("_sig").agg(
         F.min(ordinal).alias("set_id"), F.count("*").alias("members")
@@ -57,7 +57,7 @@ def collapse_sets(df: DataFrame, ordinal: str, features: str) -> DistinctSets:
         "members",
     )
     members = rows.drop("_sig", features).join(keyed.select(ordinal, "set_id"), ordinal)
-    return DistinctSets(durable(sets), members)
+    return DistinctSets(columnar(sets), members)
 
 
 def _ceil(value: Column) -> Column:
@@ -271,7 +271,13 @@ def best_partners(sets: DataFrame, cold: int = COLD_TOKEN) -> DataFrame:
         counted = _cold_overlaps(masked, cold, ["mask"])
         total = F.col("shared").cast("int") + F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b")))
         scored = counted.select("a", "b", ratio(total, F.col("n_a"), F.col("n_b")).alias("similarity"))
-    return _pick(scored.unionByName(_hot_only(hot, sets)), ties)
+    # Hot tokens alone give at most |hot| / n: probes with a better counted partner need no more.
+    scored = durable(scored)
+    best = scored.groupBy("a").agg(F.max("similarity").alias("counted"))
+    open_probes = hot.join(best, hot["set_id"] == best["a"], "left").where(
+        ~F.col("probe") | F.col("counted").isNull() | (F.size("hot") >= F.col("counted") * F.col("n") - 1e-9)
+    ).select(*hot.columns)
+    return _pick(scored.unionByName(_hot_only(open_probes, hot, sets)), ties)
 
 
 def _with_hot(counted: DataFrame, hot: DataFrame) -> DataFrame:
@@ -287,8 +293,8 @@ def _with_hot(counted: DataFrame, hot: DataFrame) -> DataFrame:
     return total.select("a", "b", ratio(F.col("all"), F.col("n_a"), F.col("n_b")).alias("similarity"))
 
 
-def _hot_only(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Per probe the best partners over hot tokens alone, one per number of shared tokens.
+def _hot_only(open_probes: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per open probe the best partners over hot tokens alone, one per number of shared tokens.
 
     Among targets with the same hot tokens the smallest set is best (then the
     smallest tie); for a given group of probes and number of shared tokens the
@@ -296,18 +302,19 @@ def _hot_only(hot: DataFrame, sets: DataFrame) -> DataFrame:
     since a set is no partner of itself.  When such a partner shares cold tokens
     as well, its true, larger similarity is among the counted pairs.
     """
-    grouped = hot.withColumn("grp", F.md5(F.array_join("hot", ",").cast("binary")))
+    group = F.md5(F.array_join("hot", ",").cast("binary"))
+    grouped, asking = hot.withColumn("grp", group), open_probes.where("probe").withColumn("grp", group)
     rank = F.struct("n", "tie", F.col("set_id").alias("b"))
     targets = grouped.where("target").join(sets.where("target").select("set_id", "tie"), "set_id").select(
         "grp", "hot", "set_id", rank.alias("rank")
     )
     lead = durable(targets.groupBy("grp").agg(F.min("rank").alias("lead"), F.first("hot").alias("hot")))
-    wanted = durable(grouped.where("probe").groupBy("grp").agg(F.first("hot").alias("hot")))
+    wanted = durable(asking.groupBy("grp").agg(F.first("hot").alias("hot")))
     i = wanted.select(F.col("grp").alias("i"), F.explode("hot").alias("tok"))
     j = lead.select(F.col("grp").alias("j"), "lead", F.explode("hot").alias("tok"))
     met = i.join(j, "tok").groupBy("i", "j").agg(F.count("*").alias("shared"), F.first("lead").alias("lead"))
     others = met.where(F.col("i") != F.col("j")).groupBy("i", "shared").agg(F.min("lead").alias("best"))
-    probes = grouped.where("probe").select("grp", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.size("hot").alias("own"))
+    probes = asking.select("grp", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.size("hot").alias("own"))
     outside = probes.join(others.withColumnRenamed("i", "grp"), "grp").select(
         "a", "n_a", F.col("shared").cast("int").alias("shared"), "best"
     )
@@ -328,8 +335,9 @@ def _hot_only(hot: DataFrame, sets: DataFrame) -> DataFrame:
 def _pick(scored: DataFrame, ties: DataFrame) -> DataFrame:
     """Best partner per probe: keep the top similarity first, resolve ties afterwards."""
     top = scored.groupBy("a").agg(F.max("similarity").alias("similarity"))
+    chosen = durable(scored.join(top, ["a", "similarity"]).select("a", "b", "similarity"))
     return (
-        scored.join(top, ["a", "similarity"]).join(ties, "b")
+        attach_counted(chosen, ties, ["b"], "inner")
         .groupBy("a", "similarity").agg(F.min(F.struct("tie", "b")).alias("best"))
         .select(F.col("a").alias("set_id"), F.col("best.b").alias("partner"), "similarity")
     )
@@ -362,7 +370,9 @@ def nearest_neighbour(
         F.col("first").alias("tie"),
     )
     ties = first.select(F.col("set_id").alias("partner"), F.col("first").alias("near"))
-    found = best_partners(sets, cold).join(ties, "partner").select("set_id", "near", "similarity")
+    found = attach_counted(durable(best_partners(sets, cold)), ties, ["partner"], "inner").select(
+        "set_id", "near", "similarity"
+    )
     # Two smallest rows overall: the neighbour of rows that share nothing.
     lowest = members.orderBy("tie").limit(2).agg(
         F.min("tie").alias("lowest"), F.max("tie").alias("next"), F.count("*").alias("rows")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution carries most of the load at scale: it merges small
@@ -75,6 +77,31 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's own scratch folder in the shared one.
+
+    The folder goes away when the process that made it ends.
+    """
+    root = f"{shared_dir(spark)}/siftrank-{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_remove, spark._jvm, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(jvm, root: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except (Py4JError, OSError):
+        pass  # the engine is gone already; the folder stays in the cluster's scratch area
+
+
+def columnar(df: DataFrame, name: str = "step") -> DataFrame:
+    """Like :func:`durable`, as Parquet: later readers take only the columns they use and push filters down."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

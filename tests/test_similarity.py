@@ -184,3 +184,24 @@ def test_positions(spark):
     assert {r["ord"]: r["rank_position"] for r in rank_positions(df).collect()} == want
     placed = dense_positions(df.repartition(7), [F.desc("priority_score"), F.asc("ord")], "p")
     assert {r["ord"]: r["p"] for r in placed.collect()} == want
+
+
+def test_one_key_with_most_rows_is_spread(spark):
+    from siftrank.operators.identity import identity_join
+    from siftrank.operators.joins import attach_per_key
+    from siftrank.operators.lookups import lookup_documents
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 10 > 0, 0, id) as k")
+    per_key = rows.groupBy("k").count().withColumn("v", F.col("k") * 2)
+    got = attach_per_key(rows, per_key, ["k"], "count", hot_rows=100)
+    assert got.where("v = k * 2").count() == 3000
+    sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] < 0.6 * 3000
+    candidates = spark.range(2000).selectExpr("id as ord", "true as valid_molecule", "if(id % 10 > 0, 'copy', concat('t', id)) as canonical_smiles")
+    reference = spark.createDataFrame([("copy", "N", "S", "1")], "key string, name string, source string, compound_id string")
+    assert identity_join(candidates, reference).where("known_compound_match").count() == 1800
+    keys = spark.range(2000).selectExpr("concat('k', id) as identity_key", "'c' as cid", "'m' as molecule_id")
+    chemicals = spark.range(200).selectExpr("concat('k', id) as identity_key", "id as ord", "'X' as chemical_id")
+    documents = spark.createDataFrame([("X", 1, "d", "t"), ("X", 2, "e", "u")], "chemical_id string, pos long, doc_id string, title string")
+    found = lookup_documents(keys, chemicals, documents).select("identity_key", "result.*")
+    assert found.count() == 2000 and found.where("patent_record_count = 2").count() == 200
