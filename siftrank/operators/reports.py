@@ -194,5 +194,5 @@ def write_package(df: DataFrame, path: str, position: str = "rank_position") ->
 
 
 def write_reports(df: DataFrame, path: str) -> None:
-    """One folder per report, named by the safe file name."""
-    render_reports(df).select("file_name", "report").write.mode("overwrite").partitionBy("file_name").text(path)
+    """The reports as one table ``(molecule_id, file_name, report)``; names need not be unique."""
+    render_reports(df).write.mode("overwrite").parquet(path)

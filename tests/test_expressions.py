@@ -28,16 +28,18 @@ BASE = {
 }
 CASES = [
     ({"valid_molecule": False}, "invalid_molecule", "invalid_molecule", V.INVALID_NOTE),
-    ({"known_compound_match": True, "known_compound_name": "Aspirin"}, "identity_context",
-     "moderate_evidence_context", "match found (Aspirin)"),
-    ({"pubchem_exact_match": True, "pubchem_cid": "2244", "pubchem_lookup_status": "exact_match"}, "identity_context",
-     "moderate_evidence_context", "exact match found (2244)"),
-    ({"chembl_exact_match": True, "chembl_activity_count": 42, "chembl_lookup_status": "exact_match"},
-     "public_bioactivity_context", "moderate_evidence_context", "returned 42 activity records"),
-    ({"patent_public_evidence_match": True, "patent_record_count": 7, "patent_lookup_status": "match_found"},
-     "patent_context_signal", "moderate_evidence_context", "returned 7 records"),
-    ({"closest_known_compound_similarity": 0.82, "closest_known_compound_name": "Ibuprofen"},
-     "local_similarity_context", "moderate_evidence_context", "closest local reference is Ibuprofen (0.82)."),
+    ({"known_compound_match": True, "known_compound_name": "Sample K1"}, "identity_context",
+     "moderate_evidence_context", "match found (Sample K1)"),
+    ({"pubchem_exact_match": True, "pubchem_cid": "90017", "pubchem_lookup_status": "exact_match"}, "identity_context",
+     "moderate_evidence_context", "exact match found (90017)"),
+    ({"chembl_exact_match": True, "chembl_activity_count": 19, "chembl_lookup_status": "exact_match"},
+     "public_bioactivity_context", "moderate_evidence_context", "returned 19 activity records"),
+    ({"patent_public_evidence_match": True, "patent_record_count": 12, "patent_lookup_status": "match_found"},
+     "patent_context_signal", "moderate_evidence_context", "returned 12 records"),
+    ({"closest_known_compound_similarity": 0.91, "closest_known_compound_name": "Sample R4"},
+     "local_similarity_context", "moderate_evidence_context", "closest local reference is Sample R4 (0.91)."),
+    ({"valid_molecule": None}, "limited_public_context", "limited_public_context", "was not requested"),
+    ({"closest_known_compound_similarity": 0.69}, "limited_public_context", "limited_public_context", "was not requested"),
     ({}, "limited_public_context", "limited_public_context", "was not requested"),
     ({"pubchem_exact_match": True, "pubchem_lookup_status": "exact_match", "chembl_exact_match": True,
       "chembl_lookup_status": "exact_match", "patent_public_evidence_match": True, "patent_record_count": 3,
@@ -80,13 +82,13 @@ def test_priority_score(spark):
 
 
 def test_rules(spark):
-    ok = S.rule_violations(F.lit(46.069), F.lit(1), F.lit(1), F.lit(0.0))
-    bad = S.rule_violations(F.lit(562.0), F.lit(11), F.lit(6), F.lit(5.1))
+    ok = S.rule_violations(F.lit(212.5), F.lit(4), F.lit(2), F.lit(1.3))
+    bad = S.rule_violations(F.lit(731.2), F.lit(14), F.lit(8), F.lit(6.4))
     assert list(one(spark, ok.alias("a"), bad.alias("b"))) == [0, 4]
 
 
 @pytest.mark.parametrize("raw,value,status", [
-    ("-8.4", -8.4, "provided"), (" 1_000 ", 1000.0, "provided"), ("high affinity", None, "invalid_docking_score"),
+    ("-6.15", -6.15, "provided"), (" 1_000 ", 1000.0, "provided"), ("high affinity", None, "invalid_docking_score"),
     ("1d", None, "invalid_docking_score"), ("", None, "invalid_docking_score"), (None, None, "invalid_docking_score"),
     (".5e1", 5.0, "provided"), ("1__0", None, "invalid_docking_score"),
 ])

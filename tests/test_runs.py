@@ -195,3 +195,18 @@ def test_long_chain_of_rising_priorities_settles(spark):
             taken |= {q: p for q in (p - 1, p, p + 1) if q in free}
             free -= {p - 1, p, p + 1}
     assert {p: o for p, o in owner.items() if o == p} == {p: o for p, o in taken.items() if o == p}
+
+
+def test_written_reports_and_package_read_back(spark, tmp_path):
+    from siftrank.operators.reports import render_package, write_package, write_reports
+
+    rows = spark.createDataFrame([(1, "A b", "CC"), (2, "A/b", "CCC"), (3, None, "C")], "ord long, molecule_id string, smiles string")
+    ranked = prioritise(rows, diversity=False)
+    ranked = W.export_columns(ranked, [*V.RESULT_COLUMNS, "rank_position"]).withColumns({"review_status": F.lit("selected"), "review_note": F.lit("n")})
+    write_reports(ranked, str(tmp_path / "reports"))
+    stored = spark.read.parquet(str(tmp_path / "reports"))
+    assert stored.count() == 3 and stored.where("length(report) > 100 and length(file_name) > 0").count() == 3
+    write_package(ranked, str(tmp_path / "package"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "package")).collect()]
+    expected = [line for r in render_package(ranked).collect() for line in r.text.split("\n")]
+    assert sorted(lines) == sorted(expected)
