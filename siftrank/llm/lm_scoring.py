@@ -21,7 +21,7 @@ from siftrank.llm.arrays import (
 END = b"\n"
 MOST_RANGES = 4096
 #: Bytes of text in a block: larger ones send fewer grams for each byte of text.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Grams of so many bytes of text are handled at a time.
 PART_BYTES = 2 << 20
 _SHARE = "range int, kind int, block long, grams binary, gram_counts binary, words binary, word_counts binary"
