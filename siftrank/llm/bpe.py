@@ -167,9 +167,14 @@ class PairTable:
         return np.array([i for i in ids if i >= 0], np.uint32)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _pairs(tokens: tuple[bytes, ...]) -> PairTable:
+    return PairTable(list(tokens))
+
+
 def _table(tokens: tuple[bytes, ...], pattern: str) -> ChunkTable:
-    pairs, split = PairTable(list(tokens)), regex.compile(pattern)
+    """A chunk table for one task; only the pair table stays with the worker."""
+    pairs, split = _pairs(tokens), regex.compile(pattern)
 
     def encode_many(chunks: list[str]) -> list[np.ndarray]:
         cut = [split.findall(c) for c in chunks]

@@ -9,7 +9,7 @@ import numpy as np
 
 #: A blank between two other characters: the split pattern never matches across its left side.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-MOST_IDS = 1_000_000
+MOST_IDS = 600_000
 
 
 def _in_a_run(chunk: str) -> bool:
@@ -18,7 +18,7 @@ def _in_a_run(chunk: str) -> bool:
 
 
 class ChunkTable:
-    """Ids of chunks, computed once for each distinct chunk and kept for the later batches of a worker.
+    """Ids of chunks, computed once for each distinct chunk and kept for the later batches of a task.
 
     ``encode_many`` gives the ids of each of a list of strings. Pieces of the split pattern never
     reach across a chunk's border, so the ids of a text are those of its chunks.

@@ -41,7 +41,7 @@ class WordHashes:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 300_000:
             known.clear()
         for w in set(words):
             if w not in known:

@@ -44,7 +44,7 @@ class PassageEncoder:
 
     def passages(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Feature rows of all passages, and the number of passages of each text (at least one)."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         known, values, numbers, counts = self.known, [], [], []
         for text in texts:

@@ -95,16 +95,20 @@ def train_dictionary(samples: list[bytes]) -> bytes:
 _PLAIN = re.compile("[ -~\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff\\n]*")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _library(serialised: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(serialised)
+
+
 def _tokenizer(serialised: str) -> ChunkTable:
-    """Ids by the tokenizers library.
+    """Ids by the tokenizers library, in a table for one task.
 
     Where the vocabulary is a byte-level BPE with the usual split pattern, plain chunks are cut here and
     their distinct pieces go straight to the library's model; all else goes through its whole pipeline.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(serialised)
+    tokenizer = _library(serialised)
     model, letters = tokenizer.model, {b: c for b, c in zip(range(256), _byte_letters(), strict=True)}
     described = json.loads(serialised)
     before = described.get("pre_tokenizer") or {}

@@ -69,7 +69,7 @@ class OrdinalModel:
     def chances(self, texts: list[str | None]) -> np.ndarray:
         """Probability of each grade for each text."""
         known, weights = self.known, self.weights
-        if len(known) > 1_000_000:
+        if len(known) > 300_000:
             known.clear()
         eta = np.zeros(len(texts))
         for i, text in enumerate(texts):
