@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,17 @@ def unpack(data: bytes, dtype, rising: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=dtype) if rising else values
 
 
+#: Bytes of rows that are handed to a Python worker at a time (more, if one row has more).
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes: ten thousand long texts in one batch would fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the cluster's shared folder and read it back.
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema
+from siftrank.llm.arrays import arrow_schema, bounded_batches
 from siftrank.llm.chunks import ChunkTable, text_batches
 
 #: Upper lengths of the matrices; longer pieces are merged one by one with a heap.
@@ -199,6 +199,7 @@ def encode_text(records: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     Null and empty texts give an empty array. Repeated rows stay. Ids are passed on as they are.
     """
+    bounded_batches(records.sparkSession)
     shared = records.sparkSession.sparkContext.broadcast(tuple(read_ranks(ranks_path)))
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
@@ -224,6 +225,7 @@ def decode_tokens(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids
 
     An id that the vocabulary lacks raises an error.
     """
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(tuple(read_ranks(ranks_path)))
     rest = encoded.drop("decoded")
     out = T.StructType([*rest.schema.fields, T.StructField("decoded", T.BinaryType())])

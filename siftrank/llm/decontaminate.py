@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, batches
+from siftrank.llm.arrays import arrow_schema, batches, bounded_batches
 from siftrank.llm.chunks import text_batches
 
 SHINGLE = 5
@@ -205,6 +205,7 @@ def without_leaks(records: DataFrame, benchmark: DataFrame, text_col: str = "evi
 
 def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
     """Broadcast indexes of the benchmark's parts."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_parts, context = max(1, -(-size // INDEX_CHARACTERS)), benchmark.sparkSession.sparkContext

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, remainder_of_id
+from siftrank.llm.arrays import arrow_schema, bounded_batches, remainder_of_id
 from siftrank.llm.chunks import text_batches
 from siftrank.llm.sampling import bounded_sample
 
@@ -219,6 +219,7 @@ def identify_language(records: DataFrame, models: LanguageModels, id_col: str =
     """
     held = F.coalesce(remainder_of_id(id_col, 4) == 2, F.lit(False)) if held_out is None else held_out
     rows = records.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
+    bounded_batches(records.sparkSession)
     shared = records.sparkSession.sparkContext.broadcast(models)
     out = T.StructType([
         T.StructField(id_col, rows.schema["id"].dataType), T.StructField("held_out", T.BooleanType()),

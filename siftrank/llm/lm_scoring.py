@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from siftrank.llm import context_tree as tree
 from siftrank.llm.arrays import (
-    Places, arrow_schema, batches, block_rows, pack, remainder_of_id, stored, unpack,
+    Places, arrow_schema, batches, block_rows, bounded_batches, pack, remainder_of_id, stored, unpack,
 )
 
 END = b"\n"
@@ -61,6 +61,7 @@ def score_text(records: DataFrame, id_col: str = "molecule_id", text_col: str =
     nearest three context bytes; the levels above are joined in Spark.
     """
     spark = records.sparkSession
+    bounded_batches(spark)
     held = F.coalesce(remainder_of_id(id_col, 10) == 0, F.lit(True)) if held_out is None else held_out
     rows = records.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType

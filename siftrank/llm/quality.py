@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, remainder_of_id
+from siftrank.llm.arrays import arrow_schema, bounded_batches, remainder_of_id
 from siftrank.llm.chunks import text_batches
 from siftrank.llm.sampling import bounded_sample
 
@@ -192,6 +192,7 @@ def score_quality(records: DataFrame, model: AttentionModel, id_col: str = "mole
         T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
         T.StructField("passages", T.LongType()), T.StructField("attention_top", T.LongType()),
     ])
+    bounded_batches(records.sparkSession)
     schema, shared = arrow_schema(out), records.sparkSession.sparkContext.broadcast(model)
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +213,7 @@ def score_quality(records: DataFrame, model: AttentionModel, id_col: str = "mole
 
 def keep_selected(records: DataFrame, model: AttentionModel, text_col: str = "evidence_summary_notes") -> DataFrame:
     """The records that the model predicts as label 1, with all their columns; nothing is joined or shuffled."""
+    bounded_batches(records.sparkSession)
     shared, place = records.sparkSession.sparkContext.broadcast(model), records.columns.index(text_col)
 
     def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, stored
+from siftrank.llm.arrays import arrow_schema, bounded_batches, stored
 from siftrank.llm.components import components
 from siftrank.llm.golay import nearby_indices
 
@@ -53,6 +53,7 @@ def _fingerprints_of(texts: pa.Array) -> np.ndarray:
 
 def fingerprints(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fingerprint) of every record; the fingerprint as a signed number."""
+    bounded_batches(records.sparkSession)
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("fp", T.LongType())])
     schema = arrow_schema(out)
@@ -163,6 +164,7 @@ def keep_one_of_each(records: DataFrame, id_col: str = "molecule_id", text_col:
 
     Of records that share that id one stays; a record without an id stays only where its group has no other.
     """
+    bounded_batches(records.sparkSession)
     row = T.StructType([*records.schema.fields, T.StructField("_fp", T.LongType())])
     schema, place = arrow_schema(row), records.columns.index(text_col)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, batches, block_rows, pack, stored, unpack
+from siftrank.llm.arrays import arrow_schema, batches, block_rows, bounded_batches, pack, stored, unpack
 from siftrank.llm.suffix_merge import decode_front, front_code, merge_runs
 
 WIDTH = 200
@@ -54,6 +54,7 @@ def remove_repeats(records: DataFrame, id_col: str = "molecule_id", text_col: st
     one range.
     """
     spark = records.sparkSession
+    bounded_batches(spark)
     rows = records.select(F.col(id_col).alias("id"), F.lit(False).alias("flag"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType
     blocks = stored(_blocks(rows, id_type, width, gram), "repeat-blocks")

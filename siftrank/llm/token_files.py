@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, batches, stored
+from siftrank.llm.arrays import arrow_schema, batches, bounded_batches, stored
 from siftrank.llm.chunks import ChunkTable, text_batches
 from siftrank.session import scratch_path
 
@@ -167,6 +167,7 @@ def write_tokens(records: DataFrame, folder: str, tokenizer_path: str, end_id: i
     repeated task leaves a whole file.
     """
     spark = records.sparkSession
+    bounded_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -272,6 +273,7 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame, id_col: str
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = files.select("file", before.cast("long").alias("first"))
     dictionary = _read_dictionary(spark, folder)
+    bounded_batches(spark)
     data = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, batches, pack, stored, unpack
+from siftrank.llm.arrays import arrow_schema, batches, bounded_batches, pack, stored, unpack
 
 K = 5
 BINS = 4096
@@ -51,6 +51,7 @@ def top_matches(records: DataFrame, is_query: Column, id_col: str = "molecule_id
     of candidate blocks; a group returns at most ``k`` bins or rows for each query.
     """
     spark = records.sparkSession
+    bounded_batches(spark)
     fit = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = records.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(fit).select(
         F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), whole_components(vector_col).alias("vector"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrank.llm.arrays import arrow_schema, remainder_of_id
+from siftrank.llm.arrays import arrow_schema, bounded_batches, remainder_of_id
 from siftrank.llm.sampling import bounded_sample
 
 #: The most records of each mark that are learned from, and the least number of them that hold a word used as a feature.
@@ -191,6 +191,7 @@ def score_severity(records: DataFrame, model: OrdinalModel, id_col: str = "molec
         T.StructField("expected_severity", T.DoubleType()), T.StructField("severity", T.IntegerType()),
         T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic", T.IntegerType()),
     ])
+    bounded_batches(records.sparkSession)
     schema, shared = arrow_schema(out), records.sparkSession.sparkContext.broadcast(model)
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
