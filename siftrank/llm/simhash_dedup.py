@@ -157,24 +157,3 @@ def _least_of_groups(distinct: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("least"))
     return named.drop("least").join(smallest, "component").select("fp", "least")
-
-
-def keep_one_of_each(records: DataFrame, id_col: str = "molecule_id", text_col: str = "evidence_summary_notes") -> DataFrame:
-    """One record of each group of :func:`group_near_duplicates`, with all its columns: the one with the smallest id.
-
-    Of records that share that id one stays; a record without an id stays only where its group has no other.
-    """
-    bounded_batches(records.sparkSession)
-    row = T.StructType([*records.schema.fields, T.StructField("_fp", T.LongType())])
-    schema, place = arrow_schema(row), records.columns.index(text_col)
-
-    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(_fingerprints_of(frame.column(place)))], schema=schema)
-
-    # The row numbers depend on partitions, so they are stored before they are used.
-    rows = stored(records.mapInArrow(add, row).withColumn("_row", F.monotonically_increasing_id()), "rows-with-fingerprints")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
-    least = _least_of_groups(rows.groupBy(F.col("_fp").alias("fp")).agg(first.alias("least")))
-    chosen = stored(least.select(F.col("least.row").alias("_row")).distinct(), "kept-rows")
-    return rows.join(chosen, "_row", "left_semi").select(*records.columns)
