@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 6
+DEPTH = 7
 #: Contexts of this length are never cut: each belongs to one range of keys.
 UNIT_DEPTH = 3
 PAD = b"\n"

@@ -94,3 +94,15 @@ def test_nothing_to_learn_and_empty(spark):
     got = {r.n_bytes: r for r in score_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[4].score == pytest.approx(32 * math.log10(.5)) and got[1].train_tokens == 0
     assert score_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_default_depth_matches_brute_force(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 6))) for _ in range(8)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(20)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    model = Brute([coded(t) for i, t in rows if not held(i)], 7)
+    got = {r.molecule_id: r.score for r in score_text(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i] == pytest.approx(model.score(coded(t)), rel=1e-5, abs=1e-5)
