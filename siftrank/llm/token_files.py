@@ -28,6 +28,8 @@ DICTIONARY_MAGIC = b"SRDICT01"
 #: Dictionary bytes, and the most records it is trained on.
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_RECORDS = 2_000
+#: Ids of each sampled record, from its start, that the dictionary is trained on; later ones only compress less well.
+SAMPLE_IDS = 1 << 14
 #: A file is closed once its frames hold so many bytes.
 FILE_BYTES = 8 << 20
 LEVEL = 3
@@ -156,8 +158,8 @@ def write_tokens(records: DataFrame, folder: str, tokenizer_path: str, end_id: i
     """Encode the evidence notes of all records and write them to ``folder`` in ascending order of their ids.
 
     Uses the tokenizers library without special tokens and appends ``end_id`` to each record. A
-    zstandard dictionary is trained on the id arrays of at most ``SAMPLE_RECORDS`` records (those with
-    the smallest hash of the id); each record is compressed by itself with it. Returns the written
+    zstandard dictionary is trained on the first ``SAMPLE_IDS`` ids of at most ``SAMPLE_RECORDS`` records
+    (those with the smallest hash of the id); each record is compressed by itself with it. Returns the written
     files: ``file``, ``file_number`` (their order), ``n_records`` and ``n_tokens``, and keeps the
     dictionary in ``folder``.
 
@@ -209,7 +211,7 @@ def _train(rows: DataFrame, vocabulary, end_id: int) -> bytes:
 
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, arrays in _encode(frames, vocabulary.value, end_id):
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([a[:1 << 14].tobytes() for a in arrays], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([a[:SAMPLE_IDS].tobytes() for a in arrays], pa.binary())})
 
     return train_dictionary(sorted(bytes(r.ids) for r in sample.mapInArrow(encode, "ids binary").toLocalIterator()))
 
