@@ -144,3 +144,20 @@ def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("known_compound_id"), F.col("text").alias("known_compound_name"))
     return find_leaks(notes(spark, sf_dir), items).select(
         F.col("molecule_id").alias("doc_id"), F.col("known_compound_id").alias("item_id"), "similarity", "first_word", "n_words")
+
+
+@query
+def op13_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.exact_dedup import mark_exact_copies
+
+    return mark_exact_copies(notes(spark, sf_dir)).withColumnRenamed("molecule_id", "doc_id")
+
+
+ORACLES["op13_bloom_exact_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1
+)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
+"""
