@@ -161,3 +161,22 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
 """
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.arrays import remainder_of_id
+    from siftrank.llm.merkle_manifest import dataset_manifest, leaf_digest, verify_manifest
+
+    records = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("molecule_id"), F.col("source").alias("known_compound_source"), F.col("lang").alias("job_id"),
+        F.col("n_chars").alias("patent_record_count"), F.col("text").alias("evidence_summary_notes"))
+    columns = tuple(records.columns)
+    lowered = F.translate("evidence_summary_notes", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    note = F.when(remainder_of_id("molecule_id", 3) == 0, lowered).otherwise(F.col("evidence_summary_notes"))
+    received = leaf_digest([note if c == "evidence_summary_notes" else F.col(c) for c in columns])
+    manifest = dataset_manifest(records, leaf_columns=columns, also={"received": received})
+    text = {c: F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")}
+    return verify_manifest(manifest, "received").select(
+        F.col("molecule_id").alias("doc_id"), text["leaf"], text["subroot"], text["root"],
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), text["folded_root"], "verified")
