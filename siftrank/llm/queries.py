@@ -180,3 +180,51 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_manifest(manifest, "received").select(
         F.col("molecule_id").alias("doc_id"), text["leaf"], text["subroot"], text["root"],
         F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), text["folded_root"], "verified")
+
+
+@query
+def op11_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftrank.llm.phrases import mine_phrases
+
+    records = table(spark, sf_dir, "documents").select(
+        F.col("text").alias("evidence_summary_notes"), F.col("lang").alias("evidence_summary_category"))
+    return mine_phrases(records).withColumnRenamed("evidence_summary_category", "lang")
+
+
+ORACLES["op11_phrase_tries"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, CAST(len(ws) AS BIGINT) - k + 2), lambda i: list_slice(ws, i, i + k - 1))) AS ids
+  FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, k, ids, count(*) AS a FROM runs GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY 1
+), cand AS (
+  SELECT * FROM f WHERE k > 1 AND a >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.ids, c.a, x.a AS l, y.a AS r, j,
+         (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cand c, (SELECT unnest([1, 2]) AS j) t, f x, f y
+  WHERE j < c.k AND x.lang = c.lang AND x.k = j AND x.ids = list_slice(c.ids, 1, j)
+    AND y.lang = c.lang AND y.k = c.k - j AND y.ids = list_slice(c.ids, j + 1, c.k)
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ids ORDER BY score, j) = 1
+), inner_parts AS (
+  SELECT lang, list_slice(ids, s, s + 1) AS ids, max(a) AS longer FROM cand, (SELECT unnest([1, 2]) AS s) WHERE k = 3 GROUP BY ALL
+), kept AS (
+  SELECT b.lang, array_to_string(b.ids, ' ') AS phrase, b.a, l, r, score
+  FROM best b LEFT JOIN inner_parts p ON p.lang = b.lang AND p.ids = b.ids
+  WHERE longer IS NULL OR 100 * longer < 50 * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS "rank" FROM kept
+)
+SELECT lang, "rank", phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE "rank" <= 2000
+"""
