@@ -199,28 +199,32 @@ WITH pieces AS (
   FROM documents
 ), words AS (
   SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
-), runs AS (
-  SELECT lang, k, unnest(list_transform(range(1, CAST(len(ws) AS BIGINT) - k + 2), lambda i: list_slice(ws, i, i + k - 1))) AS ids
-  FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k
-), f AS (
-  SELECT lang, k, ids, count(*) AS a FROM runs GROUP BY ALL
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM (
+    SELECT lang, k, unnest(list_transform(range(1, CAST(len(ws) AS BIGINT) - k + 2),
+                                          lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) AS phrase
+    FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k)
+  GROUP BY ALL
 ), totals AS (
   SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY 1
-), cand AS (
-  SELECT * FROM f WHERE k > 1 AND a >= 10
-), cuts AS (
-  SELECT c.lang, c.k, c.ids, c.a, x.a AS l, y.a AS r, j,
-         (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
-  FROM cand c, (SELECT unnest([1, 2]) AS j) t, f x, f y
-  WHERE j < c.k AND x.lang = c.lang AND x.k = j AND x.ids = list_slice(c.ids, 1, j)
-    AND y.lang = c.lang AND y.k = c.k - j AND y.ids = list_slice(c.ids, j + 1, c.k)
+), cand AS MATERIALIZED (
+  SELECT *, string_split(phrase, ' ') AS ids FROM f WHERE k > 1 AND a >= 10
+), cut_keys AS MATERIALIZED (
+  SELECT lang, k, phrase, a, j, array_to_string(ids[:j], ' ') AS head, array_to_string(ids[j + 1:], ' ') AS rest
+  FROM cand, (SELECT unnest([1, 2]) AS j) WHERE j < k
+), heads AS MATERIALIZED (
+  SELECT c.*, x.a AS l FROM cut_keys c JOIN f x ON x.lang = c.lang AND x.phrase = c.head
+), cuts AS MATERIALIZED (
+  SELECT c.*, y.a AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(c.l AS HUGEINT) * y.a) AS score
+  FROM heads c JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
 ), best AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ids ORDER BY score, j) = 1
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
 ), inner_parts AS (
-  SELECT lang, list_slice(ids, s, s + 1) AS ids, max(a) AS longer FROM cand, (SELECT unnest([1, 2]) AS s) WHERE k = 3 GROUP BY ALL
+  SELECT lang, array_to_string(ids[s:s + 1], ' ') AS phrase, max(a) AS longer
+  FROM cand, (SELECT unnest([1, 2]) AS s) WHERE k = 3 GROUP BY ALL
 ), kept AS (
-  SELECT b.lang, array_to_string(b.ids, ' ') AS phrase, b.a, l, r, score
-  FROM best b LEFT JOIN inner_parts p ON p.lang = b.lang AND p.ids = b.ids
+  SELECT b.lang, b.phrase, b.a, l, r, score
+  FROM best b LEFT JOIN inner_parts p ON p.lang = b.lang AND p.phrase = b.phrase
   WHERE longer IS NULL OR 100 * longer < 50 * b.a
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS "rank" FROM kept
