@@ -19,9 +19,12 @@ from pyspark.sql.window import Window
 from siftrank.functions.numbers import round_dp
 from siftrank.functions.sets import ratio, tanimoto
 from siftrank.operators.joins import attach_counted, attach_per_key
+from siftrank.operators.minwise import banded_keys
+from siftrank.operators.packed import packed_pairs, packed_partners, packed_width
+from siftrank.operators.signatures import signature_keys
 from siftrank.session import columnar, durable
 
-HOT_TOKEN = 2_000  # sets holding a token before it needs a second token as key
+HOT_TOKEN = 2_000  # sets holding a token before it is no key of its own
 BLOCK = 4_000  # sets of one key that one task compares among themselves
 COLD_TOKEN = 300  # sets holding a token up to which overlaps are simply counted
 MASK_TOKENS = 62  # hot tokens that fit into one number
@@ -123,38 +126,25 @@ def _rare_candidates(tokens: DataFrame, threshold: float, sided: bool) -> DataFr
     return _plausible(left.join(right, "tok"), threshold, sided, F.lit(True))
 
 
-def _frequent_candidates(tokens: DataFrame, threshold: float, sided: bool) -> DataFrame:
+def _frequent_candidates(tokens: DataFrame, sets: DataFrame, threshold: float, sided: bool) -> DataFrame:
     """Pairs whose rarest shared token is a frequent one.
 
-    Such a token alone would emit far too many pairs.  A qualifying pair also
-    shares a second token within prefixes that are one longer, so two tokens
-    together form the key; sets so small that one shared token can be enough
-    keep the single-token key as well.  Keys that are still crowded are cut
-    into blocks and every pair of blocks is its own join key, so no task
-    compares more than ``BLOCK`` by ``BLOCK`` sets.
+    Such a token alone would emit far too many pairs, so the sets that have one
+    in their prefix get partition signatures (:mod:`siftrank.operators.signatures`):
+    linearly many keys a set, which hold several tokens each.  Keys that
+    are still crowded are cut into blocks and every pair of blocks is its own
+    join key, so no task compares more than ``BLOCK`` by ``BLOCK`` sets.
     """
     extra = ["side"] if sided else []
-    tiny = _ceil(F.lit(threshold) * F.col("n")) <= 1
-    head = (
-        tokens.where((F.col("df") > HOT_TOKEN) & (F.col("rn") <= _prefix(threshold) + 1))
-        .groupBy("set_id", "n", *extra)
-        .agg(F.sort_array(F.collect_list(F.struct("rn", "tok"))).alias("head"))
-        .withColumns({"prefix": _prefix(threshold), "tiny": tiny})
-    )
+    frequent = tokens.where((F.col("df") > HOT_TOKEN) & (F.col("rn") <= _prefix(threshold))).select("set_id", *extra).distinct()
+    chosen = sets.join(frequent, ["set_id", *extra])
+    return _meet(signature_keys(chosen, threshold, extra), threshold, extra)
 
-    def key(first: Column, second: Column) -> Column:
-        return F.struct(first["tok"].alias("k1"), second.alias("k2"), first["rn"].alias("rn"))
-
-    inside = F.filter("head", lambda x: x["rn"] <= F.col("prefix"))
-    alone = F.transform(F.filter(inside, lambda x: F.col("tiny")), lambda x: key(x, x["tok"]))
-    paired = F.flatten(F.transform(inside, lambda x: F.transform(
-        F.filter("head", lambda y: y["rn"] > x["rn"]), lambda y: key(x, y["tok"])
-    )))
-    on = ["k1", "k2"]
-    keys = durable(
-        head.select("set_id", "n", *extra, F.explode(F.concat(alone, paired)).alias("key"))
-        .select("set_id", "n", *extra, "key.*")
-    )
+
+def _meet(keys: DataFrame, threshold: float, extra: list[str]) -> DataFrame:
+    """Plausible pairs of sets that share a ``key``; crowded keys are cut into blocks."""
+    on = ["key"]
+    keys = columnar(keys.withColumn("rn", F.lit(1)), "keys")
     usage = keys.groupBy(*on).agg(F.count("*").alias("uses")).where("uses > 1")
     counted = attach_per_key(keys, usage, on, "uses", how="inner")
     last = F.ceil(F.col("uses") / BLOCK).cast("int") - 1
@@ -165,15 +155,15 @@ def _frequent_candidates(tokens: DataFrame, threshold: float, sided: bool) -> Da
                             F.explode(F.sequence(F.lit(0), "own")).alias("bi"))
     cell = [*on, "bi", "bj"]
     left, right = _sides(rows, cell, extra)[0], _sides(columns, cell, extra)[1]
-    return _plausible(left.join(right, cell), threshold, sided, F.col("bi") == F.col("bj"))
+    return _plausible(left.join(right, cell), threshold, bool(extra), F.col("bi") == F.col("bj"))
 
 
-def _candidates(tokens: DataFrame, threshold: float, sided: bool) -> DataFrame:
+def _candidates(sets: DataFrame, threshold: float, sided: bool) -> DataFrame:
     """Distinct candidate pairs ``(a, b)``."""
-    tokens = durable(tokens)
+    tokens = durable(ranked_tokens(sets, ["side"] if sided else None))
     found = _rare_candidates(tokens, threshold, sided)
     if not tokens.where(F.col("df") > HOT_TOKEN).isEmpty():
-        found = found.unionByName(_frequent_candidates(tokens, threshold, sided))
+        found = found.unionByName(_frequent_candidates(tokens, sets, threshold, sided))
     return found.distinct()
 
 
@@ -200,7 +190,25 @@ def similar_pairs(distinct: DistinctSets, threshold: float = 0.7) -> DataFrame:
     sets, and ``members_a`` / ``members_b`` give the multiplicities.
     """
     sets = distinct.sets
-    found = _candidates(ranked_tokens(sets), threshold, sided=False)
+    width = packed_width(sets)
+    if width is not None:
+        sizes = sets.select("set_id", "members")
+        found = packed_pairs(sets, sets, threshold, width).where("a < b")
+        return found.join(sizes.toDF("a", "members_a"), "a").join(sizes.toDF("b", "members_b"), "b").select(
+            "a", "b", "members_a", "members_b", "similarity")
+    found = _candidates(sets, threshold, sided=False)
+    return _verified(found, sets, sets, ["members"]).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def approximate_pairs(distinct: DistinctSets, threshold: float = 0.7, recall: float = 0.95) -> DataFrame:
+    """Pairs like those of :func:`similar_pairs`, each with at least the probability ``recall``.
+
+    Sets that share a band of a minwise signature (:mod:`siftrank.operators.minwise`) are compared, and their exact
+    similarity decides: no pair is wrong, and a pair above the threshold is likelier found than one at it. A set has
+    a fixed number of keys, whatever its features.
+    """
+    sets = distinct.sets
+    found = _meet(banded_keys(sets, threshold, recall, []), threshold, []).distinct()
     return _verified(found, sets, sets, ["members"]).where(F.col("similarity") >= threshold - 1e-12)
 
 
@@ -209,7 +217,12 @@ def similar_between(left: DataFrame, right: DataFrame, threshold: float) -> Data
     both = left.select("set_id", "n", "features", F.lit(0).alias("side")).unionByName(
         right.select("set_id", "n", "features", F.lit(1).alias("side"))
     )
-    found = _candidates(ranked_tokens(both, ["side"]), threshold, sided=True)
+    width = packed_width(both)
+    if width is not None:
+        own = (F.lit(-1) - F.col("set_id")).cast("bigint")  # a left set may be paired with a right one of its number
+        found = packed_pairs(left.withColumn("set_id", own), right, threshold, width)
+        return found.withColumn("a", F.lit(-1) - F.col("a"))
+    found = _candidates(both, threshold, sided=True)
     return _verified(found, left, right).where(F.col("similarity") >= threshold - 1e-12)
 
 
@@ -251,7 +264,12 @@ def best_partners(sets: DataFrame, cold: int = COLD_TOKEN) -> DataFrame:
     ("hot") tokens: pairs that share a rare token are counted one by one; for
     all others the similarity depends on the partner's hot tokens and size
     alone, so partners with equal hot tokens are represented by their smallest.
+    Features that are positions in a vector of a fixed width, of which none is
+    rare, are packed and searched by bounds instead.
     """
+    width = packed_width(sets)
+    if width is not None:
+        return _pick(packed_partners(sets, width), sets.where("target").select(F.col("set_id").alias("b"), "tie"))
     tokens = durable(ranked_tokens(sets.select("set_id", "n", "features", "probe", "target"),
                                    ["probe", "target"]))
     ties = sets.where("target").select(F.col("set_id").alias("b"), "tie")

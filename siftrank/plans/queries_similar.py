@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from siftrank import vocab as V
 from siftrank.functions.numbers import round_dp
 from siftrank.functions.sets import pack_words, tanimoto, word_tanimoto
+from siftrank.functions.keys import feature_set
 from siftrank.operators.clustering import butina_cluster, cluster_columns
 from siftrank.operators.diversity import analysable, diversity_analysis
 from siftrank.operators.identity import closest_join, keyed_reference
 from siftrank.operators.joins import rank_positions
 from siftrank.operators.projection import project_2d
 from siftrank.operators.similarity import (
-    closest_reference, collapse_sets, nearest_neighbour, similar_pairs,
+    approximate_pairs, closest_reference, collapse_sets, nearest_neighbour, similar_pairs,
 )
 from siftrank.plans import bindings as B
 from siftrank.plans.queries_lookup import SHINGLES
@@ -30,6 +31,20 @@ sets as (select g, min(ord) as set_id, count(*) as members, min(n) as n from sig
 shs as (select set_id, s, n from sets join sh on sh.ord = set_id)"""
 
 
+# Fixed-width features: on-bits of shingles, and the distinct sets of them.
+BIT_SETS = B.with_sql("docs") + SHINGLES + """,
+bit as (select distinct ord, ('0x' || substr(md5(s), 1, 8))::bigint % 2048 as s from sh),
+bsig as (select ord, md5(string_agg(s::varchar, '|' order by s)) as g, count(*) as n from bit group by ord),
+bsets as (select g, min(ord) as set_id, count(*) as members, min(n) as n from bsig group by g),
+bits_ as (select set_id, s, n from bsets join bit on bit.ord = set_id)"""
+
+
+def bit_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as ranked rows with fixed-width features."""
+    rows = B.validated(B.document_rows(spark, sf)).where("valid_molecule")
+    return rows.select("ord", "molecule_id", "priority_score", feature_set("canonical_smiles").alias("features"))
+
+
 def document_sets(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as ranked rows with shingle features."""
     rows = B.validated(B.document_rows(spark, sf))
@@ -74,6 +89,44 @@ def nearest(spark, sf):
     return nearest_neighbour(rows, collapse_sets(rows, "ord", "features"))
 
 
+@query("similar_pairs_approximate", SETS + """, cand as (select x.set_id as a, y.set_id as b, count(*) as shared, min(x.n) as na, min(y.n) as nb
+  from shs x join shs y on x.s = y.s and x.set_id < y.set_id and 10 * y.n >= 7 * x.n and 10 * x.n >= 7 * y.n group by 1, 2)
+select count(*) as exact_pairs, 0::bigint as wrong_pairs, true as recall_reached from cand where shared::double / (na + nb - shared) >= 0.7""")
+def pairs_approximate(spark, sf):
+    """Minwise bands for a recall of 0.95, measured against the exact join: no wrong pair, and 0.9 of all at least."""
+    distinct = collapse_sets(document_sets(spark, sf), "ord", "features")
+    exact = durable(similar_pairs(distinct, 0.7).select("a", "b"))
+    found = durable(approximate_pairs(distinct, 0.7).select("a", "b"))
+    both = exact.withColumn("exact", F.lit(1)).join(found.withColumn("found", F.lit(1)), ["a", "b"], "full")
+    return both.agg(
+        F.count("exact").alias("exact_pairs"), F.count_if(F.col("exact").isNull()).alias("wrong_pairs"),
+        (F.count_if(F.col("found").isNotNull() & F.col("exact").isNotNull()) >= 0.9 * F.count("exact")).alias("recall_reached"))
+
+
+@query("similar_pairs_bits", BIT_SETS + f""", cand as (select x.set_id as a, y.set_id as b, count(*) as shared, min(x.n) as na, min(y.n) as nb
+  from bits_ x join bits_ y on x.s = y.s and x.set_id < y.set_id and 10 * y.n >= 7 * x.n and 10 * x.n >= 7 * y.n group by 1, 2)
+select a, b, p.members as members_a, q.members as members_b, {B.dp("shared::double / (na + nb - shared)", 6)} as similarity
+from cand join bsets p on p.set_id = a join bsets q on q.set_id = b where shared::double / (na + nb - shared) >= 0.7""")
+def pairs_bits(spark, sf):
+    """All pairs of documents with a Tanimoto similarity of 0.7 or more on 2,048-bit vectors."""
+    distinct = collapse_sets(bit_sets(spark, sf), "ord", "features")
+    return similar_pairs(distinct, 0.7).select("a", "b", "members_a", "members_b", round_dp("similarity", 6).alias("similarity"))
+
+
+@query("nearest_neighbour_bits", BIT_SETS + f""", ids as (select ord, set_id, 'D' || ord as label from bsig join bsets using (g)),
+ov as (select x.set_id as a, y.set_id as b, count(*) as shared, min(x.n) as na, min(y.n) as nb from bits_ x join bits_ y on x.s = y.s and x.set_id <> y.set_id group by 1, 2),
+between_ as (select i.ord, j.label, shared::double / (na + nb - shared) as sim from ov join ids i on i.set_id = a join ids j on j.set_id = b),
+within_ as (select i.ord, j.label, 1::double as sim from ids i join ids j on i.set_id = j.set_id and i.ord <> j.ord),
+low as (select label, row_number() over (order by label) as r from ids qualify r <= 2),
+none_ as (select i.ord, l.label, 0::double as sim from ids i join low l on l.label <> i.label),
+every as (select * from between_ union all select * from within_ union all select * from none_)
+select ord, arg_min(label, (-sim, label)) as nearest_label, {B.dp("max(sim)", 3)} as nearest_similarity from every group by ord""")
+def nearest_bits(spark, sf):
+    """Most similar other document of every document on 2,048-bit vectors, without a threshold."""
+    rows = durable(rank_positions(bit_sets(spark, sf)).withColumn("label", F.col("molecule_id")))
+    return nearest_neighbour(rows, collapse_sets(rows, "ord", "features"))
+
+
 @query("closest_reference", VEC + f""", c as (select * from bits where label <> 0), r as (select * from bits where label = 0),
 ov as (select c.id, r.id as ref, count(*) as shared from c join r using (i) group by 1, 2),
 s as (select ov.id, ov.ref, shared::double / (x.n + y.n - shared) as sim from ov join n_ x on x.id = ov.id join n_ y on y.id = ov.ref)
@@ -105,6 +158,19 @@ def closest_index(spark, sf):
     return closest_reference(rows, ref, small=False)
 
 
+@query("closest_reference_bits", BIT_SETS + f""",
+ov as (select a.ord, b.ord as r, count(*) as shared from bit a join bit b on a.s = b.s join (select position from ref) p on p.position = b.ord
+  join cand_d c on c.ord = a.ord group by 1, 2),
+s as (select ov.ord, r, shared::double / (x.n + y.n - shared) as sim from ov join bsig x on x.ord = ov.ord join bsig y on y.ord = r
+  union all select c.ord, (select min(position) from ref), 0 from cand_d c where c.valid_molecule)
+select ord, arg_min(r, (-sim, r)) as closest_position, {B.dp("max(sim)", 3)} as closest_similarity from s group by ord""")
+def closest_bits(spark, sf):
+    """The same on 2,048-bit vectors."""
+    ref = keyed_reference(B.reference_documents(spark, sf)).select("position", feature_set("key").alias("features"))
+    rows = B.candidate_documents(spark, sf).where("valid_molecule").select("ord", feature_set("canonical_smiles").alias("features"))
+    return closest_reference(rows, ref, small=False)
+
+
 CLUSTERS = B.with_sql("docs") + """,
 c as (select *, row_number() over (order by priority_score desc, ord) - 1 as pos from cand_d where valid_molecule),
 lead_ as (select canonical_smiles as key, arg_min(molecule_id, (-priority_score, molecule_id, pos)) as label,

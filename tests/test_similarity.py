@@ -6,6 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftrank.operators import minwise as MW
+from siftrank.operators import packed as PK
+from siftrank.operators import signatures as SG
 from siftrank.operators import similarity as SM
 from siftrank.operators.clustering import butina_cluster, cluster_columns
 from siftrank.operators.joins import attach_per_key, dense_positions, rank_positions
@@ -39,8 +42,13 @@ def frame(spark, sets):
     return rank_positions(df)
 
 
-@pytest.fixture(params=["plain", "skewed", "many_hot"])
+@pytest.fixture(params=["plain", "skewed", "many_hot", "packed"])
 def paths(request, monkeypatch):
+    if request.param == "packed":
+        monkeypatch.setattr(PK, "BLOCK", 3)
+        monkeypatch.setattr(PK, "PROBES", 4)
+        return request.param
+    monkeypatch.setattr(PK, "PACKED_BITS", 0)
     if request.param == "many_hot":
         monkeypatch.setattr(SM, "MASK_TOKENS", 1)
     if request.param != "plain":
@@ -205,3 +213,98 @@ def test_one_key_with_most_rows_is_spread(spark):
     documents = spark.createDataFrame([("X", 1, "d", "t"), ("X", 2, "e", "u")], "chemical_id string, pos long, doc_id string, title string")
     found = lookup_documents(keys, chemicals, documents).select("identity_key", "result.*")
     assert found.count() == 2000 and found.where("patent_record_count = 2").count() == 200
+
+
+def wide(seed, n, width=2048):
+    """Sets of bits of very different sizes: families of near copies, dense ones and single bits."""
+    rng = random.Random(seed)
+    sets = []
+    for i in range(n):
+        if i % 3 == 0 and sets:
+            s = set(rng.choice(sets)) ^ set(rng.sample(range(width), rng.randint(0, 12)))
+        else:
+            s = set(rng.sample(range(width), rng.choice([1, 3, 20, 60, 60, 150, 400, 1500, width])))
+        sets.append(s or {i})
+    return sets
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85])
+def test_fixed_width_pairs(spark, threshold, monkeypatch):
+    monkeypatch.setattr(PK, "BLOCK", 16)
+    sets = wide(11, 150)
+    distinct = SM.collapse_sets(frame(spark, sets), "ord", "features")
+    got = {(r["a"], r["b"]): r["similarity"] for r in SM.similar_pairs(distinct, threshold).collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    assert got == {(i, j): sim(a, b) for a, i in first.items() for b, j in first.items() if i < j and sim(a, b) >= threshold - 1e-12}
+
+
+def test_fixed_width_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(PK, "BLOCK", 16)
+    monkeypatch.setattr(PK, "PROBES", 8)
+    sets = wide(12, 140)
+    rows = frame(spark, sets)
+    got = {r["ord"]: (r["nearest_label"], r["nearest_similarity"])
+           for r in SM.nearest_neighbour(rows, SM.collapse_sets(rows, "ord", "features")).collect()}
+    meta = {r["ord"]: (r["label"], r["rank_position"]) for r in rows.collect()}
+    for i, s in enumerate(sets):
+        best = min((-sim(s, t), *meta[j]) for j, t in enumerate(sets) if i != j)
+        assert got[i] == (best[1], round(-best[0] + 1e-12, 3)), i
+
+
+def test_bounds_pass_over_most_blocks(spark, monkeypatch):
+    """Families of near copies: the partner is found in the first blocks, and few others are searched."""
+    monkeypatch.setattr(PK, "BLOCK", 8)
+    rng = random.Random(13)
+    sets = []
+    for _ in range(40):
+        centre = set(rng.sample(range(2048), rng.randint(20, 900)))
+        sets += [centre ^ set(rng.sample(range(2048), 3)) for _ in range(10)]
+    rows = spark.createDataFrame([(i, sorted(s), len(s), i) for i, s in enumerate(sets)], "set_id long, features array<int>, n int, tie int")
+    packed = PK._packed(rows, 2048, "test")
+    blocks = PK._Blocks(packed.select("bits", "set_id", "n", "tie"), 2048)
+    routes = blocks.routes(packed.select("bits", "set_id", F.lit(0.9).alias("bound")))
+    assert routes.count() < 0.15 * len(sets) * len(blocks.bounds)
+
+
+def test_similar_sets_share_a_signature(spark):
+    """Every pair at the threshold shares a key, and the keys of a set grow with its size alone."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(120):
+        s = set(rng.sample(range(10 ** 9), rng.choice([1, 2, 3, 5, 9, 30, 120])))
+        rows.append(s)
+        for _ in range(3):
+            change = rng.randint(0, max(1, len(s) // 5))
+            rows.append((s - set(rng.sample(sorted(s), min(change, len(s) - 1)))) | set(rng.sample(range(10 ** 9), rng.randint(0, change))))
+    df = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(rows)], "set_id long, n int, features array<bigint>")
+    for threshold in (0.5, 0.7, 0.85):
+        keys = {}
+        for r in SG.signature_keys(df, threshold, []).collect():
+            keys.setdefault(r["set_id"], set()).add(r["key"])
+        met = 0
+        for i, a in enumerate(rows):
+            assert len(keys[i]) <= 40 + 90 * (1 - threshold) / threshold * len(a)
+            for j in range(i):
+                near = sim(a, rows[j]) >= threshold
+                assert not near or keys[i] & keys[j]
+                met += not near and bool(keys[i] & keys[j])
+        assert threshold < 0.7 or met < 0.05 * len(rows) ** 2 / 2
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_approximate_pairs(spark, threshold):
+    """Every pair found is right, and the wanted recall is reached on the exact join's pairs."""
+    rng = random.Random(21)
+    sets = []
+    for _ in range(150):
+        centre = set(rng.sample(range(10 ** 6), rng.randint(5, 60)))
+        sets += [centre, (centre - set(rng.sample(sorted(centre), len(centre) // 8))) | {rng.randint(1, 10 ** 6)}, centre | {rng.randint(1, 99)}]
+    distinct = SM.collapse_sets(frame(spark, sets), "ord", "features")
+    exact = {(r["a"], r["b"]): r["similarity"] for r in SM.similar_pairs(distinct, threshold).collect()}
+    found = {(r["a"], r["b"]): r["similarity"] for r in SM.approximate_pairs(distinct, threshold, 0.95).collect()}
+    assert all(exact[p] == s for p, s in found.items())
+    assert len(found) >= 0.9 * len(exact) > 100
+    bands, rows = MW.choose_bands(threshold, 0.95)
+    assert 1 - (1 - threshold ** rows) ** bands >= 0.95
