@@ -13,20 +13,25 @@ from siftrank.functions.numbers import col
 from siftrank.functions.text import clean_annotation, filled, strip
 from siftrank.operators.identity import keyed_reference
 from siftrank.operators.lookups import CACHE_STATUS, INVALID_ROW, LOOKUP_STATUS, fixed_result
+from siftrank.sources.split_csv import read_csv_splits
 from siftrank.schemas import ANNOTATION_MAP, ANNOTATION_SCHEMA, LOOKUP_RESULTS, RESULT_SCHEMA, RUN_SCHEMA, STORED_RESULT
 
 
 def read_candidates(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Candidate CSV as strings plus ``ord``, the 1-based position in the input.
 
-    Quoted line breaks are legal with ``multi_line`` (one task per file; give
-    the input as many files, or switch it off for files without them).  Extra
+    Quoted line breaks are legal with ``multi_line``: large files are read by
+    many tasks all the same (:mod:`siftrank.sources.split_csv`).  Extra
     columns are dropped, ``docking_score`` stays absent when the input has none.
     All files have to name the same columns in the same order; the read fails
     on a file whose header differs instead of taking its cells by position.
     """
+    if multi_line:
+        raw = read_csv_splits(spark, path)
+        validate_columns(raw)
+        return raw.select(*[c for c in V.REQUIRED_COLUMNS + V.OPTIONAL_COLUMNS if c in raw.columns], "ord")
     raw = (
-        spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line)
+        spark.read.option("header", True).option("enforceSchema", False)
         .option("quote", '"').option("escape", '"').csv(path)
     )
     names = [c for c in V.REQUIRED_COLUMNS + V.OPTIONAL_COLUMNS if c in raw.columns]
