@@ -415,7 +415,12 @@ def with_lookups(
 
 
 def _split(keys, cache, source, retry_failed):
-    return (None, keys) if cache is None else cache_split(keys, cache, source, retry_failed)
+    """Hits and misses of no cache, a table of entries, or a stored cache that reads only what it needs."""
+    if cache is None:
+        return None, keys
+    if isinstance(cache, DataFrame):
+        return cache_split(keys, cache, source, retry_failed)
+    return cache.split(keys, source, retry_failed)
 
 
 def _union(hits: DataFrame | None, fresh: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from siftrank.operators import lookups as E
 from siftrank.operators import summaries as S
 from siftrank.operators.filters import plottable
 from siftrank.plans import bindings as B
-from siftrank.plans.registry import query
+from siftrank.plans.registry import ORACLES, query
+from siftrank.session import durable
+from siftrank.sources.lookup_cache import LookupCache
 from siftrank.sources.readers import read_lookup_cache
 from siftrank.sources.writers import upsert_lookup_cache
 
@@ -237,6 +239,70 @@ def document_lookup(spark, sf):
     return out.select("ord", *V.DOCUMENT_COLUMNS)
 
 
+# ---- stored cache -------------------------------------------------------------
+# A first run fills the cache; in the second the sources are empty, so all it returns was read from the cache.
+
+
+def filled_cache(spark: SparkSession, found: DataFrame, source: str) -> LookupCache:
+    """A cache with a failed version of every second key and the given results after it."""
+    cache = LookupCache(spark, B.scratch(spark, "lookup-cache"), buckets=8)
+    stale = found.where(F.xxhash64("identity_key") % 2 == 0).select("identity_key", E.failed_result(source, "late").alias("result"))
+    cache.write(stale, source)
+    cache.write(found, source)
+    return cache
+
+
+@query("lookup_cache_identity", LOOK + """ select r.ord, c.key is not null as pubchem_exact_match, c.cid as pubchem_cid,
+  c.name as pubchem_preferred_name, case when r.key is null then 'not_run_invalid_molecule' when c.key is not null then 'exact_match' else 'no_exact_match' end as pubchem_lookup_status,
+  case when r.key is null then 'not_used' else 'cache_hit' end as pubchem_cache_status,
+  case when r.key is null then 'Public lookup skipped for invalid molecule.' else '' end as pubchem_warning
+from rows_ r left join comp c on r.key = c.key""")
+def cache_identity(spark, sf):
+    """All identity results out of the stored cache, after compaction."""
+    rows = look_rows(spark, sf)
+    cache = filled_cache(spark, E.lookup_identity(E.distinct_keys(rows), compounds(spark, sf)), "identity")
+    cache.compact("identity")
+    return E.with_identity(rows, compounds(spark, sf).limit(0), cache).select("ord", *V.IDENTITY_COLUMNS)
+
+
+@query("lookup_cache_bioactivity", "select q.*, case when chembl_lookup_status = 'not_run_invalid_molecule' then 'not_used' else 'cache_hit' end"
+       " as chembl_cache_status from (" + ORACLES["lookup_bioactivity"] + ") q")
+def cache_bioactivity(spark, sf):
+    """All bioactivity results out of the stored cache, older versions beside them."""
+    rows = durable(B.with_features(B.candidate_documents(spark, sf)))
+    keys = E.distinct_keys(rows, ["features"])
+    molecules, activities = doc_molecules(spark, sf), doc_activities(spark, sf)
+    cache = filled_cache(spark, durable(E.bioactivity_results(keys, molecules, activities)), "bioactivity")
+    out = E.with_bioactivity(rows, molecules.limit(0), activities.limit(0), cache)
+    return out.select("ord", *[c for c in V.BIOACTIVITY_COLUMNS if c not in ("chembl_warning", "chembl_similarity_pref_name")])
+
+
+@query("lookup_cache_document", ORACLES["lookup_documents"].replace("'fresh_lookup'", "'cache_hit'"))
+def cache_document(spark, sf):
+    """All document results out of the stored cache; the ids of the second run are ignored on a hit."""
+    rows = E.not_requested(E.with_identity(look_rows(spark, sf), compounds(spark, sf)), "bioactivity")
+    ids = rows.withColumns({"cid": F.col("pubchem_cid"), "molecule_id": F.col("chembl_molecule_id")})
+    keys = E.distinct_keys(ids, ["cid", "molecule_id"])
+    cache = filled_cache(spark, E.document_results(keys, chemicals(spark, sf), records(spark, sf)), "document")
+    again = rows.withColumns({"pubchem_cid": F.lit("other"), "chembl_molecule_id": F.lit("other")})
+    return E.with_documents(again, chemicals(spark, sf).limit(0), records(spark, sf).limit(0), cache).select("ord", *V.DOCUMENT_COLUMNS)
+
+
+@query("lookup_cache_compact", LOOK + """, k as (select distinct key from rows_ where key is not null)
+select count(*) as keys, count(*) as versions, count(*) as hits, 0::bigint as misses from k""")
+def cache_compact(spark, sf):
+    """After compaction one version of every key is left, and every key is a hit."""
+    keys = E.distinct_keys(look_rows(spark, sf))
+    cache = filled_cache(spark, E.lookup_identity(keys, compounds(spark, sf)), "identity")
+    cache.compact("identity")
+    hits, misses = cache.split(keys, "identity")
+    counts = [df.agg(F.count("*").alias(name)) for name, df in (("versions", cache.entries("identity")), ("hits", hits), ("misses", misses))]
+    out = keys.agg(F.count("*").alias("keys"))
+    for one in counts:
+        out = out.crossJoin(one)  # one row each
+    return out
+
+
 # ---- payloads -----------------------------------------------------------------
 
 
