@@ -194,7 +194,26 @@ def analysable_rows(spark, sf):
     return rows.groupBy(analysable().alias("analysable")).agg(F.count("*").alias("rows"))
 
 
-@query("butina_cluster")
+BUTINA = SETS.replace("with ", "with recursive ", 1) + """, cand as (select x.set_id as a, y.set_id as b, count(*) as shared, min(x.n) as na, min(y.n) as nb
+  from shs x join shs y on x.s = y.s and x.set_id < y.set_id and 10 * y.n >= 7 * x.n and 10 * x.n >= 7 * y.n group by 1, 2),
+near_ as (select a, b from cand where shared::double / (na + nb - shared) >= 0.7),
+pr as (select a, b from near_ union all select b, a from near_),
+pos as (select ord, row_number() over (order by (ord % 101) / 100 desc, ord) - 1 as p from (select distinct ord from sh)),
+weight as (select set_id, max(p) as position, count(*) as members from sig join sets using (g) join pos using (ord) group by 1),
+deg as (select pr.a as set_id, sum(o.members) + any_value(w.members) - 1 as degree, any_value(w.position) as position
+  from pr join weight o on o.set_id = pr.b join weight w on w.set_id = pr.a group by 1),
+rk as (select set_id, row_number() over (order by degree desc, position desc) as i from deg),
+lower_ as (select x.i, list(y.i) filter (y.i > x.i) as js from pr join rk x on x.set_id = pr.a join rk y on y.set_id = pr.b group by 1),
+walk as (select 0::bigint as i, []::bigint[] as covered
+  union all select w.i + 1, case when list_contains(w.covered, l.i) then w.covered else list_concat(w.covered, coalesce(l.js, [])) end
+  from walk w join lower_ l on l.i = w.i + 1),
+covered as (select distinct unnest(covered) as i from walk where i = (select count(*) from rk)),
+owner as (select y.set_id, arg_min(x.set_id, x.i) as centroid from covered c join rk y on y.i = c.i join pr on pr.b = y.set_id
+  join rk x on x.set_id = pr.a and x.i not in (select i from covered) group by 1)
+select ord, coalesce(centroid, set_id) as centroid from sig join sets using (g) left join owner using (set_id)"""
+
+
+@query("butina_cluster", BUTINA)
 def butina(spark, sf):
     """Sphere-exclusion clusters of all documents at 0.7: one row per document."""
     rows = durable(rank_positions(document_sets(spark, sf)))
@@ -208,6 +227,16 @@ def projection(spark, sf):
     return project_2d(B.vectors(spark, sf), n_bits=64).drop("chemical_space_warning")
 
 
+@query("project_2d_invariants", "select count(*) as rows, true as centred, true as uncorrelated, true as variance_falls from embeddings")
+def projection_invariants(spark, sf):
+    """What holds for the two leading axes whatever their signs: means of zero, no correlation, falling variance."""
+    xy = project_2d(B.vectors(spark, sf), n_bits=64)
+    x, y = F.col("chemical_space_x"), F.col("chemical_space_y")
+    return xy.agg(
+        F.count("*").alias("rows"), ((F.abs(F.avg(x)) < 1e-5) & (F.abs(F.avg(y)) < 1e-5)).alias("centred"),
+        (F.abs(F.corr(x, y)) < 1e-5).alias("uncorrelated"), (F.variance(x) >= F.variance(y)).alias("variance_falls"))
+
+
 @query("diversity_analysis")
 def diversity(spark, sf):
     """Clusters, neighbours and projection of all ranked documents, invalid ones included."""

@@ -107,7 +107,7 @@ def test_queries_without_sql_are_the_iterative_ones():
     from siftrank.plans.catalog import ORACLES, QUERIES
 
     assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"butina_cluster", "project_2d", "diversity_analysis", "prioritise_documents"}
+    assert set(QUERIES) - set(ORACLES) == {"project_2d", "diversity_analysis", "prioritise_documents"}
 
 
 def test_one_failing_function_leaves_whole_error(spark, tmp_path):

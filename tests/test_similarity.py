@@ -10,7 +10,7 @@ from siftrank.operators import minwise as MW
 from siftrank.operators import packed as PK
 from siftrank.operators import signatures as SG
 from siftrank.operators import similarity as SM
-from siftrank.operators.clustering import butina_cluster, cluster_columns
+from siftrank.operators.clustering import butina_cluster, cluster_columns, sphere_exclusion
 from siftrank.operators.joins import attach_per_key, dense_positions, rank_positions
 from siftrank.operators.projection import project_2d
 
@@ -170,6 +170,56 @@ def test_projection_keeps_svd_geometry(spark):
     assert np.allclose(np.abs(have), np.abs(want), atol=2e-6)
 
 
+def test_projection_of_wide_vectors(spark):
+    """2,048 bits: the range finder's axes are the leading ones of a singular value decomposition."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 2048)) < 0.05).astype(float)
+    x[:120, :300] = np.maximum(x[:120, :300], rng.random((120, 300)) < 0.2)
+    x[200:, 500:900] = np.maximum(x[200:, 500:900], rng.random((100, 400)) < 0.1)
+    rows = [(i, [int(b) for b in np.flatnonzero(r)]) for i, r in enumerate(x)]
+    got = {r["ord"]: (r["chemical_space_x"], r["chemical_space_y"]) for r in project_2d(
+        spark.createDataFrame(rows, "ord bigint, features array<int>").repartition(5)).collect()}
+    centred = x - x.mean(axis=0)
+    want = centred @ np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    assert np.allclose(np.abs(np.array([got[i] for i in range(len(x))])), np.abs(want), atol=2e-6)
+
+
+def test_long_chain_of_priorities_is_settled_in_one_part(spark):
+    """100,000 points, each outranked by the next: every second one from the top is a centroid."""
+    n = 100_000
+    points = spark.range(n).selectExpr("id as set_id", "1L as members", "id as position")
+    edges = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")
+    got = {r.set_id: r.centroid for r in sphere_exclusion(points, edges, 2 * n - 2).collect()}
+    near, owner = (lambda i: [j for j in (i - 1, i + 1) if 0 <= j < n]), {}
+    for i in sorted(range(n), key=lambda i: (len(near(i)), i), reverse=True):
+        if i not in owner:
+            owner[i] = i
+            for j in near(i):
+                owner.setdefault(j, i)
+    assert {k for k, v in got.items() if k == v} == {k for k, v in owner.items() if k == v}
+    assert len(got) == n
+
+
+@pytest.mark.parametrize("part_links", [0, 10, 1_000_000])
+def test_parts_of_any_size_give_the_same_clusters(spark, part_links):
+    rng = random.Random(31)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)} | {(100, 101), (101, 102), (102, 103), (200, 201)}
+    points = spark.createDataFrame([(i, 1, i * 37 % 211) for i in [*range(60), *range(100, 104), 200, 201, 300]], "set_id long, members long, position long")
+    got = sphere_exclusion(points, spark.createDataFrame(sorted(edges), "a long, b long"), part_links)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    rank = {r.set_id: (len(near.get(r.set_id, ())), r.position) for r in points.collect()}
+    owner, centroids = {}, []
+    for i in sorted(rank, key=rank.get, reverse=True):
+        if i not in owner:
+            centroids.append(i)
+            owner.update({j: i for j in near.get(i, ()) if j not in owner} | {i: i})
+    best = {i: i if i in centroids else max((j for j in near[i] if j in centroids), key=rank.get) for i in rank}
+    assert {r.set_id: r.centroid for r in got.collect()} == best
+
+
 def test_projection_of_one_row(spark):
     df = spark.createDataFrame([(1, [3, 4])], "ord bigint, features array<int>")
     row = project_2d(df, n_bits=8).first()
