@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftrank import vocab as V
 from siftrank.functions.numbers import iso_text, is_true, round_dp, to_number, utc_seconds
 from siftrank.functions.text import filled, strip, title_label
+from siftrank.operators.review import review_text
 
 
 
@@ -76,11 +77,12 @@ def _details(df: DataFrame, position: str) -> list[DataFrame]:
         counts_text(df, "evidence_summary_category", "No evidence synthesis available", position,
                     "category_detail"),
         top,
+        review_text(df),
     ]
 
 
 def context_summary(df: DataFrame, position: str = "rank_position") -> DataFrame:
-    """Match counts, lookup breakdowns, similarity and cluster figures; one row."""
+    """Match counts, lookup breakdowns, reviews, similarity and cluster figures; one row."""
     similarity = to_number("closest_known_compound_similarity")
     mean = F.avg(similarity.cast("decimal(28,9)"))
     figures = df.agg(
@@ -96,9 +98,10 @@ def context_summary(df: DataFrame, position: str = "rank_position") -> DataFrame
     return _single([figures, *_details(df, position)])
 
 
-def report_summary(df: DataFrame, position: str = "rank_position") -> DataFrame:
-    """Totals, valid and high-priority rows, matches, signals and clusters; one row."""
+def report_summary(df: DataFrame, position: str = "rank_position", job_id: str | None = None) -> DataFrame:
+    """Job, totals, valid and high-priority rows, matches, signals, reviews and clusters; one row."""
     figures = df.agg(
+        F.lit(job_id or V.NOT_AVAILABLE).alias("job_id"),
         F.count("*").alias("total_rows"),
         F.count_if(is_true("valid_molecule")).alias("valid_rows"),
         F.count_if(F.coalesce("priority_score", F.lit(0.0)) >= V.HIGH_PRIORITY).alias("high_priority"),
@@ -107,14 +110,15 @@ def report_summary(df: DataFrame, position: str = "rank_position") -> DataFrame:
     return _single([figures, *_details(df, position)])
 
 
-def run_summary(df: DataFrame, position: str = "rank_position") -> DataFrame:
-    """Totals, model, docking and complexity summary of a run; no row for an empty run."""
+def run_summary(df: DataFrame, position: str = "rank_position", completed_at: str | None = None) -> DataFrame:
+    """Totals, completion time, model, docking and complexity summary of a run; no row for an empty run."""
     rows = F.count("*")
     available = F.count_if(F.col("bbb_model_status") == "model_available")
     provided = F.count_if(F.col("docking_status") == "provided")
     invalid = F.count_if(F.col("docking_status") == "invalid_docking_score")
     figures = df.agg(
         rows.alias("total_rows"),
+        F.lit(completed_at or "").alias("completed_at"),
         F.count_if(is_true("valid_molecule")).alias("valid_rows"),
         F.count_if(F.coalesce("priority_score", F.lit(0.0)) >= V.HIGH_PRIORITY).alias("high_priority"),
         F.when(available > 0, "Available").otherwise("Unavailable").alias("model_summary"),
@@ -124,7 +128,8 @@ def run_summary(df: DataFrame, position: str = "rank_position") -> DataFrame:
     )
     rated = df.where(F.col("synthetic_feasibility_category") != "not_available")
     parts = counts_text(rated, "synthetic_feasibility_category", V.NOT_AVAILABLE, position, "complexity_summary")
-    return _single([figures, parts]).where(F.col("total_rows") > 0)
+    none = F.when(F.col("complexity_summary") == V.NOT_AVAILABLE, V.NO_COMPLEXITY).otherwise("")
+    return _single([figures, parts]).where(F.col("total_rows") > 0).withColumn("complexity_detail", none)
 
 
 def cluster_summary(df: DataFrame) -> DataFrame:
@@ -189,6 +194,11 @@ def source_status(df: DataFrame, source: str, by: list[str] | None = None) -> Da
     )
 
 
+def source_statuses(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """:func:`source_status` of all three lookups, one row each (for each ``by``)."""
+    return reduce(DataFrame.unionByName, [source_status(df, source, by) for source in SOURCES])
+
+
 def _any(flag: Column) -> Column:
     return F.coalesce(F.bool_or(flag), F.lit(False))
 

@@ -253,9 +253,10 @@ ref_all as (select ord, key, 'Doc ' || ord as name, source, 'REF' || ord as comp
     where source in ('src0','src1','src2','src3','src4') and key is not null),
 ref as (select key, max_by(name, ord) as name, max_by(source, ord) as source,
     max_by(compound_id, ord) as compound_id, min(ord) as position from ref_all group by key),
-cand_d as (select ord, molecule_id, source, coalesce(text, '') as input_smiles, key as canonical_smiles,
+all_d as (select ord, molecule_id, source, coalesce(text, '') as input_smiles, key as canonical_smiles,
     key is not null as valid_molecule, least(""" + dp("cast(ord % 101 as double) / 100", 3) + r""", 1::double) as priority_score
-    from docs where source not in ('src0','src1','src2','src3','src4'))""",
+    from docs),
+cand_d as (select * from all_d where source not in ('src0','src1','src2','src3','src4'))""",
     "runs": r"""
 runs as (select strftime(d, '%Y-%m-%d') as job_id,
     case when count(*) filter (event_type = 'error') * 5 > count(*) then 'failed' else 'completed' end as status,

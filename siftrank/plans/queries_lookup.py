@@ -572,7 +572,9 @@ SUMMARY_FIGURES = """count(*) filter (known_compound_match) as exact_matches, co
 SUMMARY_DETAILS = f"""{counts_sql("pubchem_lookup_status")} as identity_detail, {counts_sql("chembl_lookup_status")} as bioactivity_detail,
   {counts_sql("patent_lookup_status")} as document_detail, {counts_sql("evidence_summary_category")} as category_detail,
   (select array_to_string(list_transform(string_split(v, '_'), lambda w: upper(w[1]) || w[2:]), ' ') from (select evidence_summary_category as v, count(*) as n, min(rank_position) as f
-     from evid group by 1 order by n desc, f limit 1)) as top_category"""
+     from evid group by 1 order by n desc, f limit 1)) as top_category,
+  """ + " || ', ' || ".join(f"'{label}: ' || count(*) filter (coalesce(nullif(review_status, ''), 'unreviewed') = '{status}')"
+                            for status, label in V.REVIEW_LABELS.items()) + " as review_summary"
 
 
 @query("value_counts", EVID + " select pubchem_lookup_status as value, count(*) as rows, min(rank_position) as first_seen from evid group by 1")
@@ -592,19 +594,19 @@ def context_summary(spark, sf):
     return S.context_summary(with_evidence(evidence_rows(spark, sf)))
 
 
-@query("report_summary", EVID + f""" select count(*) as total_rows, count(*) filter (valid_molecule) as valid_rows,
+@query("report_summary", EVID + f""" select 'run-7' as job_id, count(*) as total_rows, count(*) filter (valid_molecule) as valid_rows,
   count(*) filter (priority_score >= 0.75) as high_priority, {SUMMARY_FIGURES}, {SUMMARY_DETAILS} from evid""")
 def report_summary(spark, sf):
-    return S.report_summary(with_evidence(evidence_rows(spark, sf)))
+    return S.report_summary(with_evidence(evidence_rows(spark, sf)), job_id="run-7")
 
 
 @query("run_summary", EVID + f""" select count(*) as total_rows, count(*) filter (valid_molecule) as valid_rows, count(*) filter (priority_score >= 0.75) as high_priority,
   'Available' as model_summary, count(*) filter (bbb_model_status = 'model_available') || ' available, ' || count(*) filter (bbb_model_status <> 'model_available') || ' unavailable' as model_detail,
   count(*) filter (docking_status = 'provided') || ' provided' as docking_summary,
   count(*) filter (docking_status = 'not_provided') || ' not provided, ' || count(*) filter (docking_status = 'invalid_docking_score') || ' invalid' as docking_detail,
-  {counts_sql("nullif(synthetic_feasibility_category, 'not_available')").replace("where nullif", "where nullif")} as complexity_summary from evid""")
+  {counts_sql("nullif(synthetic_feasibility_category, 'not_available')").replace("where nullif", "where nullif")} as complexity_summary, '' as complexity_detail, '2024-05-01T10:00:00Z' as completed_at from evid""")
 def run_summary(spark, sf):
-    return S.run_summary(evidence_rows(spark, sf))
+    return S.run_summary(evidence_rows(spark, sf), completed_at="2024-05-01T10:00:00Z")
 
 
 @query("cluster_summary", EVID + """ select count(distinct diversity_cluster_id) as cluster_count, max(diversity_cluster_size) as largest_cluster,
@@ -639,17 +641,40 @@ def status_values(spark, sf):
     return S.status_values(evidence_rows(spark, sf), "chembl_lookup_status")
 
 
-@query("source_status", EVID + """, j as (select *, 'run' || (k % 4) as job_id from ev where k % 4 < 3 or pubchem_lookup_status in ('not_requested', 'lookup_failed'))
-select job_id, 'identity' as source, case when bool_or(pubchem_lookup_status in ('exact_match', 'no_exact_match')) then 'lookup_completed'
-   when bool_or(pubchem_lookup_status = 'lookup_failed') then 'lookup_failed' else 'not_requested' end as status,
-  case when bool_or(pubchem_lookup_status in ('exact_match', 'no_exact_match')) then ''
-   when bool_or(pubchem_lookup_status = 'lookup_failed') then string_agg(distinct nullif(pubchem_warning, ''), '; ' order by nullif(pubchem_warning, '')) else '' end as error_message
-from j group by job_id""")
-def source_status(spark, sf):
+# Four runs of all rows; in the last one, every lookup that was asked for has failed.
+STATUS_JOBS = EVID + ", jev as (select *, 'late ' || (k % 3) as chembl_warning, ' none ' || (k % 2) as patent_warning from ev), j as (select * replace (" + ", ".join(
+    f"case when k % 4 = 3 and {c} <> 'not_requested' then 'lookup_failed' else {c} end as {c}"
+    for c, _, _ in S.SOURCES.values()) + "), 'run' || (k % 4) as job_id from jev)"
+
+
+def status_sql(source: str) -> tuple[str, str, str]:
+    """Status, whether there is a last success, and error text of a source, in SQL."""
+    status, warning, done = S.SOURCES[source]
+    ok = f"bool_or({status} in ({', '.join(repr(d) for d in done)}))"
+    failed = f"bool_or({status} = 'lookup_failed')"
+    text = f"nullif(trim({warning}), '')"
+    return (f"case when {ok} then 'lookup_completed' when {failed} then 'lookup_failed' else 'not_requested' end", ok,
+            f"case when {ok} then '' when {failed} then coalesce(string_agg(distinct {text}, '; ' order by {text}), '') else '' end")
+
+
+def status_jobs(spark: SparkSession, sf: str) -> DataFrame:
     rows = evidence_rows(spark, sf).withColumn(
         "job_id", F.concat(F.lit("run"), (F.col("rank_position") % 4).cast("string")))
-    rows = rows.where((F.col("rank_position") % 4 < 3) | F.col("pubchem_lookup_status").isin("not_requested", "lookup_failed"))
-    return S.source_status(rows, "identity", ["job_id"]).drop("last_successful_lookup")
+    rows = rows.withColumns({
+        "chembl_warning": F.concat(F.lit("late "), (F.col("rank_position") % 3).cast("string")),
+        "patent_warning": F.concat(F.lit(" none "), (F.col("rank_position") % 2).cast("string"))})
+    return rows.withColumns({
+        c: F.when((F.col("job_id") == "run3") & (F.col(c) != "not_requested"), "lookup_failed").otherwise(F.col(c))
+        for c, _, _ in S.SOURCES.values()})
+
+
+@query("source_status", STATUS_JOBS + " union all ".join(
+    f" select job_id, '{s}' as source, {status_sql(s)[0]} as status, {status_sql(s)[1]} as has_success, {status_sql(s)[2]} as error_message from j group by job_id"
+    for s in S.SOURCES))
+def source_status(spark, sf):
+    """All three sources over all rows."""
+    out = S.source_statuses(status_jobs(spark, sf), ["job_id"])
+    return out.withColumn("has_success", F.col("last_successful_lookup") != "").drop("last_successful_lookup")
 
 
 @query("run_rollup", EVID + """ select 'run' || (k % 4) as job_id, case when bool_or(bbb_model_status = 'model_available') then 'model_available' else 'model_unavailable' end as actual_bbb_model_status,

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from siftrank import vocab as V
 from siftrank.functions import keys as K
 from siftrank.functions import labels as L
+from siftrank.functions.evidence import with_evidence
 from siftrank.functions.text import values_differ
 from siftrank.operators import compare as C
 from siftrank.operators import filters as D
 from siftrank.operators import history as H
 from siftrank.operators import review as R
 from siftrank.operators.joins import dense_positions, rank_positions
-from siftrank.operators.summaries import run_rollup
+from siftrank.operators.summaries import SOURCES
 from siftrank.plans import bindings as B
-from siftrank.plans.queries_lookup import EVID, evidence_rows
+from siftrank.plans.queries_lookup import EVID, STATUS_JOBS, evidence_rows, status_jobs, status_sql
 from siftrank.plans.queries_rows import scored_parts
 from siftrank.plans.registry import query
+from siftrank.session import durable
 from siftrank.sources import readers as A
 from siftrank.sources import writers as W
+from siftrank.sources.run_manifest import RunManifest, run_records
 
 RUNS = B.with_sql("runs")
 DONE = RUNS + ", done as (select * from runs where status = 'completed')"
@@ -161,13 +164,29 @@ def run_manifest(spark, sf):
         "job_id", "row_count", "fallback_placeholder_used", "output_file")
 
 
-@query("run_summary_table", EVID + " select 'run' || (k % 4) as job_id, count(*) as row_count from ev group by 1")
+MANIFEST = STATUS_JOBS + """ select job_id, case when bool_or(bbb_model_status = 'model_available') then 'model_available' else 'model_unavailable' end as actual_bbb_model_status,
+  string_agg(distinct bbb_model_status, '; ' order by bbb_model_status) as bbb_model_status_values,
+  bool_or(bbb_model_status <> 'model_available') as fallback_placeholder_used,
+  bool_or(pubchem_lookup_status <> 'not_requested' or chembl_lookup_status <> 'not_requested' or patent_lookup_status <> 'not_requested') as public_lookup_requested,
+  string_agg(distinct pubchem_lookup_status, '; ' order by pubchem_lookup_status) as pubchem_lookup_status_values,
+  string_agg(distinct chembl_lookup_status, '; ' order by chembl_lookup_status) as chembl_lookup_status_values,
+  string_agg(distinct patent_lookup_status, '; ' order by patent_lookup_status) as patent_lookup_status_values, count(*) as row_count,
+  'results/job_id=' || job_id as output_file, true as has_time, job_id = 'run3' as latest_run, """ + ", ".join(
+    f"{status_sql(s)[0]} as {s}_status, {status_sql(s)[1]} as {s}_has_success, {status_sql(s)[2]} as {s}_error_message" for s in SOURCES) + " from j group by job_id"
+
+
+@query("run_summary_table", MANIFEST)
 def run_summary_table(spark, sf):
-    """Rollups appended per run and read back."""
-    path = B.scratch(spark, "summary")
-    rows = evidence_rows(spark, sf).withColumn("job_id", F.concat(F.lit("run"), (F.col("rank_position") % 4).cast("string")))
-    W.append_run_summary(run_rollup(rows), path)
-    return spark.read.parquet(path).select("job_id", "row_count")
+    """Records of four runs committed to the manifest, the first two again with all their rows, and read back."""
+    manifest = RunManifest(spark, B.scratch(spark, "manifest"))
+    records = durable(run_records(status_jobs(spark, sf), "results"))
+    manifest.commit(records.where("job_id < 'run2'").withColumn("row_count", F.lit(0).cast("bigint")))
+    for job in ("run0", "run1", "run2", "run3"):
+        manifest.commit(records.where(F.col("job_id") == job))
+    out = manifest.runs().withColumn("has_time", F.col("timestamp").isNotNull())
+    for source in SOURCES:
+        out = out.withColumn(f"{source}_has_success", F.col(f"{source}_last_successful_lookup") != "").drop(f"{source}_last_successful_lookup")
+    return out.drop("timestamp", "number")
 
 
 # ---- comparison -----------------------------------------------------------------
@@ -414,16 +433,30 @@ def csv_lines(spark, sf):
     return W.csv_lines(B.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"))
 
 
-@query("candidate_properties", EVID + """, u as (select molecule_id, unnest([{'p': 'source_smiles', 'v': molecule_id}, {'p': 'molecule_id', 'v': molecule_id},
-  {'p': 'known_compound_match', 'v': case when known_compound_match then 'True' else 'False' end}, {'p': 'chembl_activity_count', 'v': chembl_activity_count::varchar},
-  {'p': 'known_compound_name', 'v': known_compound_name}, {'p': 'priority_score', 'v': priority_score::varchar}]) as e from ev where coalesce(valid_molecule, false))
-select molecule_id as record_id, e.p as property, e.v as value from u where e.v is not null""")
+# Properties of the export that the evidence rows have, with their SQL text.
+FLAGS = ("valid_molecule", "known_compound_match", "patent_public_evidence_match", "diversity_representative")
+PROPERTIES = [
+    "molecule_id", "priority_score", "valid_molecule", "bbb_model_status", "synthetic_feasibility_category", "known_compound_match",
+    "known_compound_name", "closest_known_compound_name", "closest_known_compound_similarity", "pubchem_cid", "pubchem_preferred_name",
+    "chembl_molecule_id", "chembl_activity_count", "patent_public_evidence_match", "patent_record_count", "evidence_summary_category",
+    "biopharma_context_level", "diversity_cluster_id", "diversity_cluster_size", "diversity_representative", "nearest_neighbor_molecule_id",
+    "nearest_neighbor_similarity", "diversity_status", "chemical_space_status", "review_status"]
+
+
+def property_sql(name: str) -> str:
+    if name == "review_status":  # blank in these rows
+        return "nullif(review_status, 'unreviewed')"
+    return f"case when {name} then 'True' when not {name} then 'False' end" if name in FLAGS else f"{name}::varchar"
+
+
+@query("candidate_properties", EVID + ", u as (select molecule_id, unnest([{'p': 'source_smiles', 'v': molecule_id}, " + ", ".join(
+    f"{{'p': '{n}', 'v': {property_sql(n)}}}" for n in PROPERTIES) + """]) as e from evid where coalesce(valid_molecule, false))
+select molecule_id as record_id, e.p as property, e.v as value from u where coalesce(e.v, '') <> ''""")
 def candidate_properties(spark, sf):
-    """Long property table of exportable rows."""
-    rows = evidence_rows(spark, sf).select(
-        "molecule_id", F.col("molecule_id").alias("canonical_smiles"), F.lit("").alias("input_smiles"), "valid_molecule",
-        "known_compound_match", "chembl_activity_count", "known_compound_name", "priority_score")
-    return W.candidate_properties(rows).where("property <> 'valid_molecule'")
+    """Long property table of exportable rows, with every exported property that the rows have."""
+    rows = with_evidence(evidence_rows(spark, sf)).select(
+        *PROPERTIES, F.col("molecule_id").alias("canonical_smiles"), F.lit("").alias("input_smiles"))
+    return W.candidate_properties(rows)
 
 
 @query("export_counts", EVID + " select count(*) filter (coalesce(valid_molecule, false)) as exported, count(*) filter (not coalesce(valid_molecule, false)) as skipped from ev")

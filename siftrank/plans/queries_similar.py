@@ -172,7 +172,7 @@ def closest_bits(spark, sf):
 
 
 CLUSTERS = B.with_sql("docs") + """,
-c as (select *, row_number() over (order by priority_score desc, ord) - 1 as pos from cand_d where valid_molecule),
+c as (select *, row_number() over (order by priority_score desc, ord) - 1 as pos from all_d where valid_molecule),
 lead_ as (select canonical_smiles as key, arg_min(molecule_id, (-priority_score, molecule_id, pos)) as label,
   arg_min(pos, (-priority_score, molecule_id, pos)) as lead_pos, count(*) as size from c group by 1),
 num as (select *, row_number() over (order by label, lead_pos) as id from lead_)"""
@@ -182,15 +182,15 @@ num as (select *, row_number() over (order by label, lead_pos) as id from lead_)
 from c join num on num.key = c.canonical_smiles""")
 def clusters(spark, sf):
     """Numbering, size and representative, with equal keys as the clusters."""
-    rows = rank_positions(B.candidate_documents(spark, sf).where("valid_molecule"))
+    rows = rank_positions(B.validated(B.document_rows(spark, sf)).where("valid_molecule"))
     rows = rows.select("ord", "rank_position", "priority_score", F.col("molecule_id").alias("label"),
                        F.md5(F.col("canonical_smiles").cast("binary")).alias("centroid"))
     return cluster_columns(rows).select("ord", "diversity_cluster_id", "diversity_cluster_size", "diversity_representative")
 
 
-@query("analysable_rows", B.with_sql("docs") + " select valid_molecule as analysable, count(*) as rows from cand_d group by 1")
+@query("analysable_rows", B.with_sql("docs") + " select valid_molecule as analysable, count(*) as rows from all_d group by 1")
 def analysable_rows(spark, sf):
-    rows = B.with_features(B.candidate_documents(spark, sf))
+    rows = B.with_features(B.validated(B.document_rows(spark, sf)))
     return rows.groupBy(analysable().alias("analysable")).agg(F.count("*").alias("rows"))
 
 

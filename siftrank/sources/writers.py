@@ -47,7 +47,7 @@ def upsert_run(states: DataFrame, path: str) -> None:
 
 
 def append_run_summary(summary: DataFrame, path: str) -> None:
-    """Append the rollup of a run."""
+    """Append the rollup of a run to a plain table; :mod:`siftrank.sources.run_manifest` keeps times and the latest run."""
     summary.write.mode("append").parquet(path)
 
 
