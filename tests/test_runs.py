@@ -135,6 +135,30 @@ def test_one_failing_function_leaves_whole_error(spark, tmp_path):
     assert states["empty.csv"] == ("completed", 0)
 
 
+def test_sixteen_files_run_side_by_side_and_a_broken_one_fails_alone(spark, tmp_path):
+    from siftrank.streaming.incremental import RunTables, incremental_runs
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(15):
+        (folder / f"f{i:02d}.csv").write_text("molecule_id,smiles\n" + "".join(f"m{j},C{'C' * j}\n" for j in range(i + 1)))
+    (folder / "f15.csv").write_text("molecule_id\nbroken\n")
+    tables = RunTables(str(tmp_path / "results"), str(tmp_path / "runs"))
+
+    def outcome():
+        states = A.latest_runs(spark.read.parquet(tables.runs)).collect()
+        rows = {r.job_id: r["count"] for r in A.stored_results(spark, tables.results).groupBy("job_id").count().collect()}
+        assert [(s.input_file[-7:], s.error_message[:300]) for s in states if rows.get(s.job_id, 0) != s.row_count] == []
+        return sorted((s.input_file[-7:], s.status, s.row_count) for s in states)
+
+    got = []
+    for attempt in ("a", "b"):  # a stream without its checkpoint repeats the batch
+        incremental_runs(spark, str(folder), tables, str(tmp_path / f"checkpoint-{attempt}"),
+                         lambda rows: prioritise(rows, diversity=False), files_at_once=8).awaitTermination()
+        got.append(outcome())
+    assert got[0] == got[1] == [(f"f{i:02d}.csv", "completed", i + 1) for i in range(15)] + [("f15.csv", "failed", 0)]
+
+
 def test_differing_headers_are_reported(spark, tmp_path):
     (tmp_path / "a.csv").write_text("molecule_id,smiles\nA,CC\n")
     (tmp_path / "b.csv").write_text("smiles,molecule_id\nCCC,B\n")
