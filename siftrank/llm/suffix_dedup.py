@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrank.llm.arrays import arrow_schema, batches, block_rows, bounded_batches, pack, stored, unpack
+from siftrank.llm.exact_dedup import fresh_name
 from siftrank.llm.suffix_merge import decode_front, front_code, merge_runs
 
 WIDTH = 200
@@ -89,15 +90,16 @@ def without_repeats(records: DataFrame, text_col: str = "evidence_summary_notes"
     Bytes of a character that was cut at the border of a removed run go too; null texts stay null.
     """
     rest = [c for c in records.columns if c != text_col]
-    whole = F.struct(*rest, F.col(text_col).isNull().alias("_was_null"))
-    kept = remove_repeats(records.select(whole.alias("_record"), text_col), "_record", text_col, width, gram)
+    was_null, record = fresh_name(records, "_was_null"), fresh_name(records, "_record")
+    whole = F.struct(*rest, F.col(text_col).isNull().alias(was_null))
+    kept = remove_repeats(records.select(whole.alias(record), text_col), record, text_col, width, gram)
 
     @F.pandas_udf(T.StringType())
     def decoded(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    found = kept.withColumn("_text", F.when(~F.col("_record._was_null"), decoded("kept")))
-    return found.select(*(F.col("_text").alias(c) if c == text_col else F.col("_record")[c].alias(c) for c in records.columns))
+    found = kept.select(record, F.when(~F.col(record)[was_null], decoded("kept")).alias("text"))
+    return found.select(*(F.col("text").alias(c) if c == text_col else F.col(record)[c].alias(c) for c in records.columns))
 
 
 # ---- anchors ----------------------------------------------------------------

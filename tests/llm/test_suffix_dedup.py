@@ -78,3 +78,13 @@ def test_production_width(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_own_columns_named_like_internal_ones_stay(spark):
+    from siftrank.llm.suffix_dedup import without_repeats
+
+    rows = [(1, "x" * 30, True, "r"), (2, None, False, "s"), (3, "alone", None, None)]
+    df = spark.createDataFrame(rows, "molecule_id long, evidence_summary_notes string, _was_null boolean, _record string")
+    got = without_repeats(df, width=20, gram=8)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "", True, "r"), (2, None, False, "s"), (3, "alone", None, None)]
