@@ -19,8 +19,11 @@ from siftrank.session import columnar
 
 #: Widths up to this many bits are packed.
 PACKED_BITS = 8_192
-#: Pivots at most (about the root of the number of targets), all of which every task holds: 1 MB at 8,192 bits.
+#: Pivots at most (a share of the root of the number of targets), all of which every task holds: 1 MB at 8,192 bits.
 MOST_PIVOTS = 1_024
+PIVOT_SHARE = 8
+#: Largest ratio of popcounts in a block.
+BAND_RATIO = 1.2
 #: Targets of a block, and probes that one task compares with a block.
 BLOCK = 2_048
 PROBES = 16_384
@@ -94,11 +97,15 @@ def _nearest_pivot(packed: DataFrame, pivots: np.ndarray, width: int) -> DataFra
 
 
 def _blocked(targets: DataFrame) -> DataFrame:
-    """Add ``band`` and ``sub``: a pivot's targets cut by popcount, equal popcounts cut by id where they are too many."""
-    counts = targets.groupBy("pivot", "n").agg(F.count("*").alias("_size"))
-    below = F.sum("_size").over(Window.partitionBy("pivot").orderBy("n")) - F.col("_size")
-    cuts = counts.select("pivot", "n", F.floor(below / BLOCK).cast("int").alias("band"),
-                         F.ceil(F.col("_size") / BLOCK).cast("int").alias("_subs"))
+    """Add ``band`` and ``sub``: a pivot's targets cut by popcount, equal popcounts cut by id where they are too many.
+
+    A band's popcounts differ by ``BAND_RATIO`` at most, so that their ratio to a probe's rules out whole bands.
+    """
+    counts = targets.groupBy("pivot", "n").agg(F.count("*").alias("_size")).withColumn(
+        "_step", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / np.log(BAND_RATIO)).cast("int"))
+    below = F.sum("_size").over(Window.partitionBy("pivot", "_step").orderBy("n")) - F.col("_size")
+    band = F.col("_step").cast("bigint") * (1 << 32) + F.floor(below / BLOCK)
+    cuts = counts.select("pivot", "n", band.alias("band"), F.ceil(F.col("_size") / BLOCK).cast("int").alias("_subs"))
     return targets.join(cuts, ["pivot", "n"]).withColumn(
         "sub", F.pmod(F.xxhash64("set_id"), F.col("_subs")).cast("int")).drop("_subs")
 
@@ -197,14 +204,14 @@ class _Blocks:
         """``targets(bits, set_id, n, tie)``, at least one."""
         self.width = width
         chosen = targets.orderBy(F.xxhash64("set_id"), "set_id").limit(
-            min(MOST_PIVOTS, int(targets.count() ** 0.5) + 1)).select("bits").collect()
+            min(MOST_PIVOTS, int(targets.count() ** 0.5) // PIVOT_SHARE + 1)).select("bits").collect()
         self.pivots = np.frombuffer(b"".join(bytes(r["bits"]) for r in chosen), np.uint64).reshape(len(chosen), width // 64)
         blocked = columnar(_blocked(_nearest_pivot(targets, self.pivots, width)), "blocked-vectors")
         places = ["pivot", "band", "sub"]
         stats = blocked.groupBy(*places).agg(F.min("n"), F.max("n"), F.min("distance"), F.max("distance")).orderBy(*places).collect()
         self.bounds = np.array([[r[0], *r[3:]] for r in stats], float)
         numbers = targets.sparkSession.createDataFrame(
-            [(*r[:3], i) for i, r in enumerate(stats)], "pivot int, band int, sub int, block int")
+            [(*r[:3], i) for i, r in enumerate(stats)], "pivot int, band long, sub int, block int")
         self.targets = blocked.join(F.broadcast(numbers), places).select("bits", "set_id", "tie", "block")
 
     def routes(self, probes: DataFrame, first: bool = False, others: bool = True) -> DataFrame:
