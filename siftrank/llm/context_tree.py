@@ -8,11 +8,15 @@ of the byte seen so far (1 followed by those bits).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 DEPTH = 7
 #: Contexts of this length are never cut: each belongs to one range of keys.
 UNIT_DEPTH = 3
+#: Grams whose levels are held at a time (some 300 bytes each); a context of more is cut at its next byte.
+MOST_GRAMS = 200_000
 PAD = b"\n"
 _LOG_HALF = np.log(0.5)
 
@@ -30,9 +34,28 @@ def gram_keys(data: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return keys
 
 
-def unit_of(keys: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """The nearest ``UNIT_DEPTH`` context bytes of each gram."""
-    return keys >> np.uint64(8 * (depth + 1 - UNIT_DEPTH))
+def unit_of(keys: np.ndarray, depth: int = DEPTH, unit: int = UNIT_DEPTH) -> np.ndarray:
+    """The nearest ``unit`` context bytes of each gram."""
+    return keys >> np.uint64(8 * (depth + 1 - unit))
+
+
+def nodes_of(keys: np.ndarray, depth: int = DEPTH, unit: int = UNIT_DEPTH) -> np.ndarray:
+    """Distinct nodes with contexts of ``unit`` bytes that the grams pass."""
+    symbol, context = keys & np.uint64(255), unit_of(keys, depth, unit) << np.uint64(8)
+    return np.unique(np.concatenate(
+        [np.unique(context | np.uint64(1 << b) | (symbol >> np.uint64(8 - b))) for b in range(8)]))
+
+
+def parts_of(keys: np.ndarray, depth: int, unit: int) -> Iterator[slice]:
+    """Parts of sorted grams, of ``MOST_GRAMS`` at most or one context of ``unit`` bytes."""
+    context = unit_of(keys, depth, unit)
+    ends = np.append(np.flatnonzero(context[1:] != context[:-1]) + 1, len(keys))
+    start = 0
+    while start < len(keys):
+        fits = int(np.searchsorted(ends, start + MOST_GRAMS, "right")) - 1
+        end = int(ends[fits]) if fits >= 0 and ends[fits] > start else int(ends[fits + 1])
+        yield slice(start, end)
+        start = end
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -96,24 +119,75 @@ def parents_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(16)) << np.uint64(8) | (keys & np.uint64(255))
 
 
-def build(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> list[Level]:
-    """Levels ``UNIT_DEPTH`` to ``depth`` of the grams, in that order; counts are above zero."""
+def build(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, unit: int = UNIT_DEPTH) -> list[Level]:
+    """Levels ``unit`` to ``depth`` of the grams, in that order; counts are above zero."""
     levels: list[Level] = []
     context, symbol, count = keys >> np.uint64(8), keys & np.uint64(255), counts.astype(np.float64)
-    for d in range(depth, UNIT_DEPTH - 1, -1):
+    for d in range(depth, unit - 1, -1):
         level = level_of(context, symbol, count)
         if levels:
             level.add_children(parents_of(levels[0].keys), levels[0].weighted)
         levels.insert(0, level)
-        if d > UNIT_DEPTH:
+        if d > unit:
             pairs, place = np.unique((context >> np.uint64(8)) << np.uint64(8) | symbol, return_inverse=True)
             count = np.bincount(place, count, len(pairs))
             context, symbol = pairs >> np.uint64(8), pairs & np.uint64(255)
     return levels
 
 
+def level_above(level: Level) -> Level:
+    """Nodes with one context byte less than those of a whole level."""
+    parents = parents_of(level.keys)
+    keys, place = np.unique(parents, return_inverse=True)
+    above = Level(keys, np.bincount(place, level.zeros, len(keys)), np.bincount(place, level.ones, len(keys)))
+    above.add_children(parents, level.weighted)
+    return above
+
+
+def unit_level(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, unit: int = UNIT_DEPTH) -> Level:
+    """The level of ``unit`` alone; deeper ones are built for a part of the sorted grams at a time."""
+    parts = [level_above(unit_level(keys[p], counts[p], depth, unit + 1)) if _crowded(p, depth, unit)
+             else build(keys[p], counts[p], depth, unit)[0] for p in parts_of(keys, depth, unit)]
+    whole = Level(*(np.concatenate([np.zeros(0, t), *(getattr(x, c) for x in parts)])
+                    for c, t in (("keys", np.uint64), ("zeros", float), ("ones", float))))
+    whole.weighted = np.concatenate([np.zeros(0), *(x.weighted for x in parts)])
+    return whole
+
+
+def _crowded(part: slice, depth: int, unit: int) -> bool:
+    return part.stop - part.start > MOST_GRAMS and unit < depth
+
+
+def log10_in_parts(keys: np.ndarray, counts: np.ndarray, top: tuple[np.ndarray, ...], depth: int = DEPTH,
+                   unit: int = UNIT_DEPTH) -> np.ndarray:
+    """:func:`log10_of` of sorted grams under the counts of those seen (above 0), a part at a time."""
+    out = np.zeros(len(keys), np.float32)
+    for p in parts_of(keys, depth, unit):
+        seen = counts[p] > 0
+        learned = keys[p][seen], counts[p][seen]
+        if _crowded(p, depth, unit):
+            level = level_above(unit_level(*learned, depth, unit + 1))
+            out[p] = log10_in_parts(keys[p], counts[p], _lowered(nodes_of(keys[p], depth, unit + 1), level, top), depth, unit + 1)
+        else:
+            out[p] = log10_of(keys[p], build(*learned, depth, unit), top, depth, unit)
+    return out
+
+
+def _lowered(nodes: np.ndarray, level: Level, top: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """What ``top`` and one more level add above ``nodes``."""
+    up = parents_of(nodes)
+    _, at = _found(top[0], up)
+    own, rest, alone = (x[at] for x in top[1:])
+    if not len(level.keys):
+        return nodes, own, rest, alone
+    here, place = _found(level.keys, up)
+    share, estimate = level.own_share()[place], level.estimate()[place]
+    return (nodes, np.where(here, own + rest * share * estimate, own), np.where(here, rest * (1 - share), rest),
+            np.where(here, own + rest * estimate, alone))
+
+
 def log10_of(keys: np.ndarray, levels: list[Level], top: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray],
-             depth: int = DEPTH) -> np.ndarray:
+             depth: int = DEPTH, unit: int = UNIT_DEPTH) -> np.ndarray:
     """Log10 probability of each gram's byte after its context.
 
     ``top`` holds for the nodes above the units (key, own part, share of what lies deeper,
@@ -127,8 +201,8 @@ def log10_of(keys: np.ndarray, levels: list[Level], top: tuple[np.ndarray, np.nd
     for bit in range(8):
         prefix = np.uint64(1 << bit) | (symbol >> np.uint64(8 - bit))
         chance = np.full(len(keys), np.nan)
-        for d in range(depth, UNIT_DEPTH - 1, -1):
-            known, share, estimate = shares[d - UNIT_DEPTH]
+        for d in range(depth, unit - 1, -1):
+            known, share, estimate = shares[d - unit]
             if not len(known):
                 continue
             node = (keys >> np.uint64(8 * (depth + 1 - d))) << np.uint64(8) | prefix
@@ -136,7 +210,7 @@ def log10_of(keys: np.ndarray, levels: list[Level], top: tuple[np.ndarray, np.nd
             own = estimate[place]
             mixed = np.where(np.isnan(chance), own, share[place] * own + (1 - share[place]) * chance)
             chance = np.where(here, mixed, chance)
-        node = unit_of(keys, depth) << np.uint64(8) | prefix
+        node = unit_of(keys, depth, unit) << np.uint64(8) | prefix
         here, place = _found(top_keys, node)
         with_unit = np.where(np.isnan(chance), top_alone[place], top_own[place] + top_rest[place] * chance)
         chance = np.where(here, with_unit, np.where(np.isnan(chance), 0.5, chance))

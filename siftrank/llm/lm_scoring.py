@@ -19,7 +19,6 @@ from siftrank.llm.arrays import (
 )
 
 END = b"\n"
-MOST_RANGES = 4096
 #: Bytes of text in a block: larger ones send fewer grams for each byte of text.
 BLOCK_BYTES = 12 << 20
 #: Grams of so many bytes of text are handled at a time.
@@ -30,6 +29,7 @@ _SHARE_ARROW = pa.schema([
     ("gram_counts", pa.binary()), ("words", pa.binary()), ("word_counts", pa.binary()),
 ])
 _SUM_ARROW = _SHARE_ARROW.append(pa.field("tokens", pa.int64())).append(pa.field("kinds", pa.int64()))
+_TOP = ["top_node", "top_own", "top_rest", "top_alone"]
 _ANSWER = "block long, kind int, range int, values binary, word_values binary"
 _ANSWER_ARROW = pa.schema([
     ("block", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("values", pa.binary()),
@@ -58,7 +58,9 @@ def score_text(records: DataFrame, id_col: str = "molecule_id", text_col: str =
     How it scales: texts are stored once as blocks of whole texts; each block sends its distinct
     grams and words once to the range of keys that owns them, and gets their values back, so
     neither a model nor a count table is ever in one place. Ranges are cut by the hash of the
-    nearest three context bytes; the levels above are joined in Spark.
+    nearest three context bytes; the levels above are joined in Spark. A range's deeper levels are
+    built for ``context_tree.MOST_GRAMS`` grams at a time; a context of more is cut at its next byte,
+    with what the levels above it add carried down.
     """
     spark = records.sparkSession
     bounded_batches(spark)
@@ -67,7 +69,7 @@ def score_text(records: DataFrame, id_col: str = "molecule_id", text_col: str =
     id_type = rows.schema["id"].dataType
     blocks = stored(_blocks(rows, id_type, depth), "lm-blocks")
     n_blocks = blocks.count()
-    n_ranges = int(min(MOST_RANGES, max(8, n_blocks // 4)))
+    n_ranges = max(8, n_blocks // 4)
 
     def sent(counted: bool) -> DataFrame:
         return blocks.select("block", "grams", "gram_counts", "words", "word_counts").mapInArrow(
@@ -78,7 +80,7 @@ def score_text(records: DataFrame, id_col: str = "molecule_id", text_col: str =
     totals = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     top = _top_levels(counted, depth)
     model = counted.drop("tokens", "kinds").join(top, "range", "left")
-    ask = sent(False).withColumns({c: F.lit(None) for c in ("top_node", "top_own", "top_rest", "top_alone")})
+    ask = sent(False).withColumns({c: F.lit(None) for c in _TOP})
     answers = model.unionByName(ask).repartition(n_ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(
         lambda frames: _answers(frames, depth), _ANSWER)
     texts = blocks.select("block", F.lit(1).alias("kind"), "ids", "held", "lengths", "payload", "grams")
@@ -243,14 +245,10 @@ def _unit_nodes(frames: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Rec
             if not len(keys):
                 continue
             seen = counts > 0
-            level = tree.build(keys[seen], counts[seen], depth)[0] if seen.any() else None
-            symbol, unit = keys & np.uint64(255), tree.unit_of(keys, depth) << np.uint64(8)
-            asked = np.unique(np.concatenate(
-                [np.unique(unit | np.uint64(1 << b) | (symbol >> np.uint64(8 - b))) for b in range(8)]))
+            level, asked = tree.unit_level(keys[seen], counts[seen], depth), tree.nodes_of(keys, depth)
             zeros, ones, weighted = (np.zeros(len(asked)) for _ in range(3))
-            if level is not None:
-                at = np.searchsorted(asked, level.keys)
-                zeros[at], ones[at], weighted[at] = level.zeros, level.ones, level.weighted
+            at = np.searchsorted(asked, level.keys)
+            zeros[at], ones[at], weighted[at] = level.zeros, level.ones, level.weighted
             yield pa.RecordBatch.from_pydict({
                 "range": pa.array(np.full(len(asked), row["range"], np.int32)), "node": pa.array(asked.astype(np.int64)),
                 "zeros": pa.array(zeros), "ones": pa.array(ones), "weighted": pa.array(weighted)})
@@ -318,15 +316,13 @@ def _answers(frames: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
     def rows() -> Iterator[tuple]:
         keys = values = words = counts = None
         for frame in frames:
-            for row in frame.to_pylist():
+            for i, row in enumerate(frame.drop_columns(_TOP).to_pylist()):
                 grams, hashes = unpack(row["grams"], np.uint64, True), unpack(row["words"], np.uint64, True)
                 if row["kind"] == 0:
                     keys, words, counts = grams, hashes, unpack(row["word_counts"], np.uint64)
-                    seen = unpack(row["gram_counts"], np.uint64)
-                    levels = tree.build(keys[seen > 0], seen[seen > 0], depth) if (seen > 0).any() else []
-                    top = (np.array(row["top_node"] or [], np.uint64), *(
-                        np.array(row[f"top_{c}"] or [], np.float64) for c in ("own", "rest", "alone")))
-                    values = _log10_in_parts(keys, levels, top, depth)
+                    top = [(pa.array([], pa.float64()) if (c := frame.column(name)[i].values) is None else c).to_numpy() for name in _TOP]
+                    values = tree.log10_in_parts(keys, unpack(row["gram_counts"], np.uint64),
+                                                 (top[0].astype(np.uint64), *(c.astype(np.float64) for c in top[1:])), depth)
                 else:
                     yield (row["block"], 0, row["range"], pack(values[np.searchsorted(keys, grams)]),
                            pack(counts[np.searchsorted(words, hashes)]))
@@ -334,16 +330,6 @@ def _answers(frames: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
     return batches(_ANSWER_ARROW, rows())
 
 
-def _log10_in_parts(keys: np.ndarray, levels: list, top: tuple, depth: int) -> np.ndarray:
-    out = np.zeros(len(keys), np.float32)
-    if not levels:
-        levels = [tree.Level(*(np.zeros(0, t) for t in (np.uint64, float, float)))] * (depth + 1 - tree.UNIT_DEPTH)
-    for start in range(0, len(keys), 1 << 18):
-        part = keys[start:start + (1 << 18)]
-        out[start:start + len(part)] = tree.log10_of(part, levels, top, depth)
-    return out
-
-
 def _score_blocks(frames: Iterator[pa.RecordBatch], schema: pa.Schema, n_ranges: int, depth: int, tokens: int,
                   kinds: int) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:

@@ -3,9 +3,12 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from siftrank.llm import context_tree as tree
+from siftrank.llm import lm_scoring
 from siftrank.llm.lm_scoring import score_text
 
 SCHEMA = T.StructType([T.StructField("molecule_id", T.LongType()), T.StructField("evidence_summary_notes", T.StringType()),
@@ -96,6 +99,40 @@ def test_nothing_to_learn_and_empty(spark):
     assert score_text(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("most", [1, 40, 700])
+def test_cut_contexts_give_the_same_values(monkeypatch, most):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("aaaaaabc "), 3000)).encode(), bytes(rng.integers(97, 123, 2000, np.uint8))]
+    grams = [tree.gram_keys(np.frombuffer(tree.PAD * 7 + t, np.uint8)) for t in texts]
+    keys = np.unique(np.concatenate(grams))
+    counts = np.zeros(len(keys), np.uint64)
+    learned, times = np.unique(grams[0], return_counts=True)
+    counts[np.searchsorted(keys, learned)] = times
+    nodes = tree.nodes_of(keys)
+    top = (nodes, np.full(len(nodes), .05), np.full(len(nodes), .9), rng.uniform(.2, .8, len(nodes)))
+    level, levels = tree.unit_level(learned, times), tree.build(learned, times)
+    expected = tree.log10_of(keys, levels, top)
+    monkeypatch.setattr(tree, "MOST_GRAMS", most)
+    cut = tree.unit_level(learned, times)
+    assert (cut.keys == level.keys).all() and (cut.ones == level.ones).all() and np.allclose(cut.weighted, levels[0].weighted, rtol=1e-12)
+    assert np.allclose(tree.log10_in_parts(keys, counts, top), expected, rtol=1e-5)
+    assert np.allclose(tree.log10_in_parts(keys, counts * 0, top), tree.log10_of(keys, tree.build(keys[:0], times[:0]), top), rtol=1e-5)
+
+
+def test_one_context_holding_most_grams_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(tree, "MOST_GRAMS", 30)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 500)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 900)
+    rng = random.Random(6)
+    rows = [(i, "".join("xyz" + rng.choice("abcdefgh") for _ in range(rng.randint(1, 20)))) for i in range(30)]
+    rows += [(200, " ".join(rng.choices(["xyza", "xyzb", "q"], k=400))), (201, "xyz" * 300)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    model = Brute([coded(t) for i, t in rows if not held(i)], 7)
+    got = {r.molecule_id: r.score for r in score_text(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(model.score(coded(t)), rel=1e-5, abs=1e-5)
+
+
 def test_default_depth_matches_brute_force(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("ab", k=rng.randint(1, 6))) for _ in range(8)]
