@@ -8,6 +8,7 @@ block once instead of once for each place it stands at.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +53,36 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting that removes the shuffle files of a query when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def stored(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     """Write a step to the cluster's shared folder and read it back.
 
     Cuts the lineage, freezes values that depend on partition numbers, and keeps column
-    pruning for its readers. The folder is the one ``spark.checkpoint.dir`` names.
+    pruning for its readers. The folder is the one ``spark.checkpoint.dir`` names. With
+    ``clean`` the shuffle files of the writing query go when it ends: nothing needs them again.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true" if clean else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    step = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[step] = path
+    return step
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Delete the folders of stored steps that nothing reads any more, such as those whose successor is stored."""
+    for step in steps:
+        spark, where = step.sparkSession, _FOLDERS.pop(step)
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder_of_id(id_col: str | Column, divisor: int) -> Column:

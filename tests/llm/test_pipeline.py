@@ -10,7 +10,14 @@ import corpus_pipeline
 from siftrank.llm.bpe import read_ranks
 from siftrank.llm.quality import PassageEncoder, learn_quality
 from tests.llm.test_decontaminate import brute as brute_leaks
-from tests.llm.test_simhash_dedup import brute_fingerprint, brute_groups
+from tests.llm.test_near_duplicates import shingles
+from tests.llm.test_simhash_dedup import brute_groups
+
+
+def changed(text):
+    words = text.split()
+    words[len(words) // 2] = "another"
+    return " ".join(words)
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +39,7 @@ def folder(spark, tmp_path_factory):
         docs.append((i, text, "en", "src", len(text)))
         labels.append((i, int(good), 0))
     docs += [(300 + i, docs[i][1], "en", "src", 1) for i in range(20)]
+    docs += [(300 + i, changed(docs[i][1]), "en", "src", 1) for i in range(30, 45)]
     docs += [(400, None, "en", None, None), (401, "", None, "src", 0), (None, docs[3][1] + " more", "en", "src", 1), (5, docs[5][1], "en", "src", 1)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -49,8 +57,9 @@ def test_stages_match_brute_force(spark, folder):
     good = model.score(*PassageEncoder().passages([d[1] for d in docs])) >= .5
     kept = [d for d, g in zip(docs, good) if g]
     assert .6 * len(docs) < len(kept) < .9 * len(docs)
-    fps = [brute_fingerprint(d[1]) for d in kept]
-    groups = brute_groups(range(len(kept)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    sets = [shingles(d[1]) for d in kept]
+    groups = brute_groups(range(len(kept)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert sum(30 <= d[0] < 45 or 330 <= d[0] < 345 for d in kept if d[0]) - len({groups[k] for k, d in enumerate(kept) if d[0] and d[0] % 300 in range(30, 45)}) > 4
     best = {}
     for k, g in groups.items():
         key = (kept[k][0] is None, kept[k][0] or 0)
