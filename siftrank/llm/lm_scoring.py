@@ -76,7 +76,7 @@ def score_text(records: DataFrame, id_col: str = "molecule_id", text_col: str =
             lambda frames: _requests(frames, n_ranges, depth, counted), _SHARE)
 
     counted = stored(sent(True).repartition(n_ranges, "range").mapInArrow(_sum_ranges, _SHARE + ", tokens long, kinds long"),
-                     "lm-counts")
+                     "lm-counts", clean=True)
     totals = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     top = _top_levels(counted, depth)
     model = counted.drop("tokens", "kinds").join(top, "range", "left")
@@ -282,8 +282,8 @@ def _top_levels(counted: DataFrame, depth: int) -> DataFrame:
     """For each unit node: what the levels above it add, and what they leave to the deeper ones."""
     units = stored(counted.mapInArrow(lambda frames: _unit_nodes(frames, depth),
                                       "range int, node long, zeros double, ones double, weighted double"), "lm-units")
-    two = stored(_mixed(units, "2"), "lm-level2")
-    one = stored(_mixed(two, "1"), "lm-level1")
+    two = stored(_mixed(units, "2"), "lm-level2", clean=True)
+    one = stored(_mixed(two, "1"), "lm-level1", clean=True)
     root = _mixed(one, "0")
 
     def up(column: str) -> Column:
